@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexshift.llm import mixing, packing, token_orc
+from lexshift.llm import hnsw, mixing, packing, simhash, token_orc, topk
 from lexshift.llm.tokens import public
 from lexshift.session import table
 
 
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.round_trip(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"))
 
@@ -21,5 +29,19 @@ def op7_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op6_token_orc, op7_hilbert_packing)}
-ORACLES = {"op4_mix_sources": mixing.ORACLE}
+def op8_nra_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_simhash_dedup,
+        op4_mix_sources,
+        op5_embedding_dedup,
+        op6_token_orc,
+        op7_hilbert_packing,
+        op8_nra_top_k,
+    )
+}
+ORACLES = {"op4_mix_sources": mixing.ORACLE, "op8_nra_top_k": topk.ORACLE}
