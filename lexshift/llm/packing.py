@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexshift.llm.tokens import encoder
+from lexshift.llm.tokens import encoder, slices
 from lexshift.session import ship, staged
 
 LENGTH = 2048
@@ -73,7 +73,7 @@ def document_keys(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     bucket = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(54)).astype(np.int64)
     at = np.cumsum(n) - n
-    sums = np.add.reduceat(directions()[bucket].astype(np.float64), at, axis=0)
+    sums = np.stack([np.add.reduceat(way[bucket].astype(np.float64), at) for way in directions().T], axis=1)
     place = np.tanh(sums / np.sqrt(n)[:, None] / 4)
     cells = np.clip(((place + 1) / 2 * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1)
     return hilbert_keys(cells)
@@ -82,7 +82,7 @@ def document_keys(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
 def _tokenized(tokenizer: str, kind: str, end_id: int):
     def run(batches):
         units = encoder(tokenizer, kind)
-        for batch in batches:
+        for batch in slices(batches):
             ids, n = units.encode(batch.column("text"))
             ids = np.insert(ids, np.cumsum(n), end_id)
             n = n + 1

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from lexshift.llm.tokens import encoder
+from lexshift.llm.tokens import encoder, slices
 from lexshift.session import scratch, ship
 
 SCHEMA = "doc_id long, shard int, at long, n_tokens long, ids array<int>"
@@ -43,7 +43,7 @@ OPTIONS = {
 def _encoded(tokenizer: str, kind: str, end_id: int):
     def run(batches):
         units, shard, at = encoder(tokenizer, kind), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches):
             ids, n = units.encode(batch.column("text"))
             ids = np.insert(ids, np.cumsum(n), end_id)
             n = n + 1

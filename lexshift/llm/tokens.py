@@ -16,9 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Units kept by a cache; beyond that it starts anew. About 200 bytes each.
-CACHE = 500_000
-#: Bytes of text whose units are handled at once.
-CHUNK = 16_000_000
+CACHE = 600_000
+#: Bytes of text that slices() hands out at once.
+CHUNK = 8_000_000
 
 
 def _byte_chars() -> dict[int, str]:
@@ -47,7 +47,7 @@ class _Units:
 
     def _clear(self):
         self.codes: dict[str, int] = {}
-        self.bases: dict[str, list[int]] = {}
+        self.marks: dict[str, list[int]] = {}
         self.starts = np.zeros(1, np.int64)
         self.lens = np.zeros(1, np.int64)
         self.pool = np.zeros(0, np.uint32)
@@ -57,27 +57,38 @@ class _Units:
 
     def _merged(self, word: str) -> list[int]:
         """Ids of one piece: letters below U+0250, at most with one space before them."""
-        ids = self.bases.get(word)
+        return [t.id for t in self.model.tokenize(word.translate(STAND_IN))]
+
+    def _kept(self, unit: str, text: str) -> list[int]:
+        """Ids of a unit without its mark at the end; taken from the cache if it is there."""
+        code = self.codes.get(unit, -1)
+        if code < 0:
+            return self._merged(text)
+        return self.pool[self.starts[code] : self.starts[code] + self.lens[code]].tolist()
+
+    def _mark(self, text: str) -> list[int]:
+        ids = self.marks.get(text)
         if ids is None:
-            ids = self.bases[word] = [t.id for t in self.model.tokenize(word.translate(STAND_IN))]
+            ids = self.marks[text] = self.whole(text)
         return ids
 
     def _lookup(self, units: list[str]) -> np.ndarray:
         """Codes of units, -1 for those that make their text go the slow way."""
-        if len(self.codes) + len(units) > CACHE:
-            self._clear()
         get = self.codes.get
         found = np.fromiter((get(u, -2) for u in units), np.int64, len(units))
         missing = np.flatnonzero(found == -2)
+        if len(missing) and len(self.codes) + len(missing) > CACHE:
+            self._clear()
+            found, missing = np.full(len(units), -2), np.arange(len(units))
         if len(missing):
-            ids, lens, slow = [], [], []
+            ids, lens, slow, new_units = [], [], [], [units[i] for i in missing.tolist()]
             n = len(self.starts)
-            for k, i in enumerate(missing.tolist()):
-                got = self.ids_of(units[i])
+            for k, unit in enumerate(new_units):
+                got = self.ids_of(unit)
                 if got is None:
                     slow.append(k)
                     got = ()
-                ids.extend(got)
+                ids += got
                 lens.append(len(got))
             new = np.arange(n, n + len(missing))
             new[slow] = -1
@@ -86,19 +97,13 @@ class _Units:
             self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lens) - lens])
             self.lens = np.concatenate([self.lens, lens])
             self.pool = np.concatenate([self.pool, np.array(ids, np.uint32)])
-            self.codes.update(zip((units[i] for i in missing.tolist()), new.tolist()))
+            self.codes.update(zip(new_units, new.tolist()))
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: empty) as one array, and how many each text has."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-        cuts = [0, *np.flatnonzero(np.diff(sizes // CHUNK)).tolist(), len(texts)]
-        cuts = sorted(set(cuts))
-        parts = [self._encode(texts.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])]
-        if not parts:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        return self._encode(texts) if len(texts) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         units = pc.split_pattern(self.prepared(texts), " ")
@@ -155,18 +160,15 @@ class ByteUnits(_Units):
             text, word = " " + unit, unit
         base = word[:-1] if word[-1:] in (".", ",") else word
         if _latin(base):
-            ids = [*self._known("\n"), *self._merged(base)] if text[0] == "\n" else self._merged(text[: len(text) - len(word) + len(base)])
-            return ids if base is word else [*ids, *self._known(word[-1])]
+            if base is word:
+                return [*self._mark("\n"), *self._merged(word)] if text[0] == "\n" else self._merged(text)
+            if text[0] == "\n":
+                return [*self._mark("\n"), *self._merged(base), *self._mark(word[-1])]
+            return [*(self._merged(text[:-1]) if text is word else self._kept(base, text[:-1])), *self._mark(word[-1])]
         if not word or "\x01" in word or any(map(str.isspace, word)):
             return None
         return self.whole(text)
 
-    def _known(self, text: str) -> list[int]:
-        got = self.bases.get("\x02" + text)
-        if got is None:
-            got = self.bases["\x02" + text] = self.whole(text)
-        return got
-
 
 class WordUnits(_Units):
     """BPE with word ends, lower case, white space dropped. A unit is what stands between
@@ -182,10 +184,18 @@ class WordUnits(_Units):
         word = unit.lower()
         base = word[:-1] if word[-1:] in (".", ",") else word
         if _latin(base):
-            return self._merged(word) if base is word else [*self._merged(base), *self._known(word[-1])]
+            return self._merged(word) if base is word else [*self._kept(unit[:-1], base), *self._mark(word[-1])]
         return self.whole(unit) if unit else ()
 
-    _known = ByteUnits._known
+
+def slices(batches, column: str = "text", chunk: int = CHUNK):
+    """The batches in slices of about `chunk` bytes of text (one row at least), so that what is made of them stays small."""
+    for batch in batches:
+        if batch.num_rows:
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // chunk)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                yield batch.slice(a, b - a)
 
 
 _LOADED: dict[tuple[str, str], _Units] = {}
