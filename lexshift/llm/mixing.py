@@ -112,14 +112,6 @@ def with_plan(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(sources.withColumnRenamed("key", "_key"), "_key").withColumn("_extra", extra)
 
 
-def _keyed(docs: DataFrame, seed: str) -> DataFrame:
-    return docs.withColumns({
-        "_key": F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source").cast("string"))),
-        "_place": place(F.col("doc_id"), seed),
-        "_size": n_words(F.col("text")),
-    })
-
-
 def mix(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
     """(doc_id, source, text) to doc_id, size, source_size, target, taken. Texts are read once."""
     sized = staged(
@@ -141,14 +133,18 @@ def apply_mix(docs: DataFrame, seed: str = SEED, **how) -> DataFrame:
         docs.select("source", n_words(F.col("text")).alias("size"), place(F.col("doc_id"), seed).alias("place")), "mix-sizes"
     )
     sources = staged(plan_sources(sized, **how), "mix-sources")
-    rows = with_plan(_keyed(docs, seed), sources)
-    part = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.col("_extra").cast("int")), " ")
+    key = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source").cast("string")))
+    whole_row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = with_plan(docs.select(whole_row, key.alias("_key"), place(F.col("doc_id"), seed).alias("_place"), n_words(F.col("text")).alias("_size")), sources)
+    text = F.col("_row.text")
+    part = F.array_join(F.slice(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.col("_extra").cast("int")), " ")
     copies = F.when(F.col("whole") > 0, F.array_repeat(F.lit(False), F.col("whole").cast("int"))).otherwise(F.array().cast("array<boolean>"))
     copies = F.concat(copies, F.when(F.col("_extra") > 0, F.array(F.col("_extra") < F.col("_size"))).otherwise(F.array().cast("array<boolean>")))
-    out = rows.withColumn("_part", F.explode(copies)).withColumn("text", F.when(F.col("_part"), part).otherwise(F.col("text")))
+    out = rows.withColumn("_part", F.explode(copies)).withColumn("_text", F.when(F.col("_part"), part).otherwise(text))
+    changed = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_part"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("_part"), F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return out.select(*[changed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""
