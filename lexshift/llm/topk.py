@@ -6,8 +6,10 @@ sorted by value. A query reads the lists from the end that suits the sign of its
 component, in rounds, each as deep again as all before. What has been read gives each
 candidate a lower bound (unread components at their list's far end) and an upper bound
 (unread components where reading stands). Reading stops when few candidates' upper
-bounds reach the k-th best lower bound; only for these are final scores resolved. Each
-block gives a query at most k rows, and a window of these gives the result.
+bounds reach the k-th best lower bound; only for these are final scores resolved. Queries
+read in step: what lists show at a depth is one pair of matrices for a block, so the bounds of
+many queries are matrix products. Each block gives a query at most k rows, and a window of
+these gives the result.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part;
 shorter vectors count as ending in zeros; equal scores go to the smaller id; a repeated
@@ -29,66 +31,82 @@ from lexshift.session import ship
 
 SCALE, K, EVERY = 256, 5, 50
 BLOCK_ROWS = 8192
+#: Queries that read together.
+BATCH = 256
 #: Blocks at least, so that small tables use more than one task.
 BLOCKS = 6
 FOUND = "query_id long, vec_id long, score long"
 
 
 class SortedLists:
-    """One block's lists, sorted by value, and their sequential reading."""
+    """One block's lists, sorted by value, and their sequential reading to one depth after another."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors.astype(np.int64)
-        up = np.argsort(self.vectors, axis=0, kind="stable").T
-        values = np.take_along_axis(self.vectors.T, up, axis=1).astype(np.float64)
-        self.up, self.up_values = np.ascontiguousarray(up), values
-        self.down, self.down_values = np.ascontiguousarray(up[:, ::-1]), np.ascontiguousarray(values[:, ::-1])
-
-    def top(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best, best first."""
-        n = len(self.ids)
-        other = self.ids != query_id
-        left = np.flatnonzero(other)
-        plus, minus = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
-        if len(left) > 4 * k and len(plus) + len(minus):
-            left = self._read(query.astype(np.float64), plus, minus, other, k, n)
-        scores = self.vectors[left] @ query
-        best = np.lexsort((self.ids[left], -scores))[:k]
-        return self.ids[left[best]], scores[best]
-
-    def _read(self, query, plus, minus, other, k, n) -> np.ndarray:
-        """Indices of the candidates that can be among the k best."""
-        weight = np.concatenate([query[plus], query[minus]])[:, None]
-        far = np.concatenate([self.down_values[plus, -1], self.up_values[minus, -1]])[:, None] * weight
-        total, low = np.zeros(n), np.full(n, far.sum())
-        read, depth = 0, max(k, n // 16)
-        while True:
-            part = np.concatenate([self.down[plus, read:depth], self.up[minus, read:depth]])
-            worth = np.concatenate([self.down_values[plus, read:depth], self.up_values[minus, read:depth]]) * weight
-            at = part.ravel()
-            total += np.bincount(at, worth.ravel(), n)
-            low -= np.bincount(at, np.broadcast_to(far, part.shape).ravel(), n)
-            read = depth
-            stand = worth[:, -1:]
-            seen = np.concatenate([self.down[plus, :read], self.up[minus, :read]])
-            high = total + stand.sum() - np.bincount(seen.ravel(), np.broadcast_to(stand, seen.shape).ravel(), n)
-            bound = np.where(other, total + low, -np.inf)
-            kth = np.partition(bound, n - k)[n - k]
-            left = np.flatnonzero(other & (high >= kth))
-            if len(left) <= max(4 * k, n // 32) or read == n:
-                return left
-            depth = min(n, 2 * read)
+        self.ids, self.vectors = ids, vectors.astype(np.float64)
+        order = np.argsort(self.vectors, axis=0, kind="stable")
+        self.values = np.take_along_axis(self.vectors, order, axis=0)
+        self.rank = np.empty_like(order)
+        np.put_along_axis(self.rank, order, np.broadcast_to(np.arange(len(ids))[:, None], order.shape), axis=0)
+        self.by_id = np.argsort(ids, kind="stable")
+        self.at: dict[int, tuple] = {}
+
+    def _stand(self, depth: int) -> tuple:
+        """What reading all lists to a depth from the top and from the bottom has shown, for upper and lower bounds:
+        a candidate's value where it was read, less what is assumed of it where it was not; and these assumptions."""
+        if depth not in self.at:
+            n, v, low, high = len(self.ids), self.vectors, self.values[0], self.values[-1]
+            top, bottom = self.rank >= n - depth, self.rank < depth
+            edge_top, edge_bottom = self.values[n - depth], self.values[depth - 1]
+            self.at[depth] = (
+                (np.where(top, v - edge_top, 0), np.where(bottom, v - edge_bottom, 0), edge_top, edge_bottom),
+                (np.where(top, v - low, 0), np.where(bottom, v - high, 0), low, high),
+            )
+        return self.at[depth]
+
+    @staticmethod
+    def _bound(plus: np.ndarray, minus: np.ndarray, stand: tuple) -> np.ndarray:
+        from_top, from_bottom, edge_top, edge_bottom = stand
+        return plus @ from_top.T + minus @ from_bottom.T + (plus @ edge_top + minus @ edge_bottom)[:, None]
+
+    def _own(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(query, candidate) places of equal ids."""
+        ids = self.ids[self.by_id]
+        a, b = np.searchsorted(ids, asked, "left"), np.searchsorted(ids, asked, "right")
+        row = np.repeat(np.arange(len(asked)), b - a)
+        return row, self.by_id[np.repeat(a, b - a) + np.arange(len(row)) - np.repeat(np.cumsum(b - a) - (b - a), b - a)]
+
+    def top(self, asked: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ids and scores of its k best, best first. Queries that have stopped leave the rounds."""
+        n, out = len(self.ids), [None] * len(asked)
+        queries = queries.astype(np.float64)
+        open_, depth = np.arange(len(asked)), min(n, max(k + 1, n // 16))
+        while len(open_):
+            q = queries[open_]
+            plus, minus = np.maximum(q, 0), np.minimum(q, 0)
+            upper, lower = (self._bound(plus, minus, s) for s in self._stand(depth))
+            own = self._own(asked[open_])
+            upper[own], lower[own] = -np.inf, -np.inf
+            kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), -np.inf)
+            left = (upper >= kth[:, None]) & np.isfinite(upper)
+            stop = (left.sum(1) <= max(4 * k, n // 32)) | (depth == n)
+            for j in np.flatnonzero(stop).tolist():
+                some = np.flatnonzero(left[j])
+                scores = (self.vectors[some] @ q[j]).astype(np.int64)
+                best = np.lexsort((self.ids[some], -scores))[:k]
+                out[open_[j]] = self.ids[some[best]], scores[best]
+            open_, depth = open_[~stop], min(n, 2 * depth)
+        return out
 
 
 def _searched(k: int):
     def run(members, queries):
         lists = SortedLists(members[0], members[2])
         width = lists.vectors.shape[1]
-        for ids, _, vectors in queries:
-            vectors = widened(vectors, width)[:, :width].astype(np.int64)
-            got = [(i, *lists.top(i, v, k)) for i, v in zip(ids.tolist(), vectors)]
-            if got:
-                columns = np.repeat([g[0] for g in got], [len(g[1]) for g in got]), np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got])
+        for every, _, wide in queries:
+            for at in range(0, len(every), BATCH):
+                ids, vectors = every[at : at + BATCH], widened(wide[at : at + BATCH], width)[:, :width]
+                got = lists.top(ids, vectors, k)
+                columns = np.repeat(ids, [len(g[0]) for g in got]), np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
     return run

@@ -26,7 +26,8 @@ def asked_of_shards(members: DataFrame, queries: DataFrame, shards: int, run, sc
     members = members.withColumn("shard", own).withColumn("asks", F.lit(False))
     queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).withColumn("asks", F.lit(True))
     rows = members.unionByName(queries).withColumn("shard", F.col("grp") * 1_000_003 + F.col("shard")).select(*columns)
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "asks", "id")
+    # By range, as few keys would collide by hash; more partitions than shards, so that each stands alone.
+    rows = rows.repartitionByRange(4 * shards, "shard").sortWithinPartitions("shard", "asks", "id")
     return rows.mapInArrow(lambda batches: _by_shard(batches, run), schema)
 
 
