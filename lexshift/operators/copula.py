@@ -59,6 +59,7 @@ def _log_density(family: str, tau: float, u: np.ndarray, v: np.ndarray) -> tuple
         rho = float(np.clip(math.sin(math.pi * tau / 2), -0.999, 0.999))
         a, b = (np.array([NormalDist().inv_cdf(float(p)) for p in w]) for w in (u, v))
         return rho, -0.5 * math.log(1 - rho**2) - (rho**2 * (a**2 + b**2) - 2 * rho * a * b) / (2 * (1 - rho**2))
+    tau = min(tau, 0.95)  # beyond it the densities overflow
     if family == "clayton":
         t = max(2 * tau / (1 - min(tau, 0.999)), 1e-6)
         return t, math.log(1 + t) - (1 + t) * (np.log(u) + np.log(v)) - (2 + 1 / t) * np.log(np.maximum(u**-t + v**-t - 1, 1e-12))
