@@ -98,6 +98,18 @@ def test_joint_margins():
     assert np.abs(x.sum(1) - new.sum(1)).max() < 1e-5 and np.abs(x.sum(0) - new.sum(0)).max() < 1e-5 and x.min() >= 0
 
 
+def test_joint_qp_solves_every_pair(spark):
+    from lexshift.plans import catalog, tables
+
+    sf = "/root/testdata/sf0.001"
+    lines = catalog._qp(spark, sf).groupBy("grp").count()
+    assert lines.agg(F.max("count")).first()[0] <= joint.LIMIT and lines.count() > 1
+    pairs = {(r["fr"], r["en"]) for r in tables.tokens(spark, sf).select("fr", "en").distinct().collect()}
+    got = catalog.QUERIES["joint_qp"](spark, sf).collect()
+    assert pairs <= {(r["f"], r["e"]) for r in got}
+    assert all(0 <= r["x"] <= 1 for r in got)
+
+
 def test_phrase_decoding(spark):
     table = spark.createDataFrame([("a b", "x y", [0.5, 1.0, 0.5, 1.0], [4.0, 4.0]), ("a", "x", [0.5, 1.0, 0.5, 1.0], [2.0, 2.0]), ("b", "y", [0.25, 1.0, 0.25, 1.0], [4.0, 4.0])], "fr string, en string, scores array<double>, counts array<double>")
     got = {r["fr"]: r for r in phrases.relative_entropy(table).collect()}
