@@ -5,8 +5,11 @@ shards of bounded size; each shard builds its graph, and every vector is searche
 every shard. A search keeps a beam of the best vectors seen and expands them until none
 is left. If even the worst of a beam is a link, the beam is doubled for that query, so
 no number of links is cut off. After each batch of queries, some of it is compared with
-the whole shard (the audit); while the recall is below AUDIT_RECALL, the beams of the batch are
-doubled, up to the whole shard. Every link is verified by its cosine in double precision.
+the whole shard (the audit): a uniform sample, and samples of the queries with few and with
+many links, all without those that were already compared with the whole shard. While the
+mean share of a query's links that was found is below AUDIT_RECALL in any of them, the beams
+of the batch are doubled, up to the whole shard. Every link is verified by its cosine in
+double precision.
 
 A shard returns one count for each query with links and a spanning forest of the
 links, never all pairs. Components over all shards follow in Spark.
@@ -181,9 +184,22 @@ class Graph:
         return self._walk(0, queries, self._descend(queries, 0, None), min(beam, len(self.v)))
 
 
-def links_of(graph: Graph, queries: np.ndarray, near: float, audit_seed: int):
-    """(query indices, member indices) of all pairs above near that searching finds; beams are widened as told above."""
+def _recall(graph: Graph, queries, near: float, found, own, sample) -> float:
+    """The mean share of found links over the sampled queries with links; a query's own row doesn't count."""
+    if not len(sample):
+        return 1.0
+    truth = (queries[sample] @ graph.v.T >= near).sum(1)
+    mine = own[sample] >= 0
+    truth[mine] -= np.einsum("bd,bd->b", queries[sample[mine]], graph.v[own[sample[mine]]]) >= near
+    linked = truth > 0
+    return float(np.minimum(found[sample[linked]] / truth[linked], 1.0).mean()) if linked.any() else 1.0
+
+
+def links_of(graph: Graph, queries: np.ndarray, near: float, audit_seed: int, own: np.ndarray | None = None):
+    """(query indices, member indices) of all pairs above near that searching finds; beams are widened as told above.
+    own: for each query the member that it is itself, or -1."""
     n, beam = len(graph.v), BEAM
+    own = np.full(len(queries), -1) if own is None else own
     while True:
         if beam * 4 >= n:  # as wide as the shard
             pairs = [np.nonzero(queries[a : a + 256] @ graph.v.T >= near) for a in range(0, len(queries), 256)]
@@ -202,10 +218,12 @@ def links_of(graph: Graph, queries: np.ndarray, near: float, audit_seed: int):
             todo, width = todo[full], width * 2
         q, p = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]).astype(np.int64)
         rng = np.random.default_rng(audit_seed)
-        sample = np.unique(np.concatenate([rng.choice(len(queries), min(AUDIT, len(queries)), replace=False), rng.choice(q, min(AUDIT, len(q)), replace=False) if len(q) else q]))
-        truth = int((queries[sample] @ graph.v.T >= near).sum())
-        hit = int(np.isin(q, sample).sum())
-        if hit >= AUDIT_RECALL * truth:
+        counts = np.bincount(q[p != own[q]], minlength=len(queries))
+        rest = np.setdiff1d(np.arange(len(queries)), todo)  # todo: compared with the whole shard
+        linked = rest[counts[rest] > 0]
+        many = counts[linked] > np.median(counts[linked]) if len(linked) else np.zeros(0, bool)
+        samples = [rng.choice(c, min(AUDIT, len(c)), replace=False) for c in (rest, linked[~many], linked[many])]
+        if all(_recall(graph, queries, near, counts, own, c) >= AUDIT_RECALL for c in samples):
             return q, p
         beam *= 2
 
@@ -215,6 +233,7 @@ def _searched(cosine: float):
         ids, weights, vectors = members
         unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
         graph, links = Graph(unit.astype(np.float32)), Links(len(ids))
+        by_id = np.argsort(ids, kind="stable")
 
         def batch(kind, a, b, n):
             columns = [pa.array(np.full(len(a), kind, np.int32)), *(pa.array(np.asarray(c), pa.int64()) for c in (a, b, n))]
@@ -222,7 +241,8 @@ def _searched(cosine: float):
 
         for k, (asked, _, vectors) in enumerate(queries):
             vectors = vectors / np.linalg.norm(vectors, axis=1)[:, None]
-            q, p = links_of(graph, vectors.astype(np.float32), cosine - 1e-4, k)
+            at = by_id[np.minimum(np.searchsorted(ids, asked, sorter=by_id), len(ids) - 1)]
+            q, p = links_of(graph, vectors.astype(np.float32), cosine - 1e-4, k, np.where(ids[at] == asked, at, -1))
             sure = np.concatenate([np.einsum("bd,bd->b", vectors[q[a : a + 65536]], unit[p[a : a + 65536]]) for a in range(0, max(1, len(q)), 65536)]) >= cosine
             sure &= asked[q] != ids[p]
             q, p = q[sure], p[sure]

@@ -138,6 +138,33 @@ def test_graph_search_recall():
     assert len(q) >= 0.9 * int((v @ v.T >= 0.95).sum())
 
 
+def test_graph_audit_counts_queries_of_small_groups():
+    """A graph whose narrow beams lose the links of pairs, beside a group of a third of all."""
+    rng = np.random.default_rng(7)
+    far = rng.normal(size=(800, 64))
+    pairs = np.repeat(far, 2, 0) + 0.01 * rng.normal(size=(1600, 64))
+    hot = rng.normal(size=64) + 0.01 * rng.normal(size=(800, 64))
+    v = np.concatenate([hot, pairs])
+    v = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+
+    class Narrow:
+        def __init__(self):
+            self.v = v
+
+        def search(self, queries, beam):
+            sims = queries @ v.T
+            ids = np.argsort(-sims, axis=1)[:, :beam]
+            sims = np.take_along_axis(sims, ids, 1)
+            if beam < 4 * hnsw.BEAM:
+                sims[(sims >= 0.95).sum(1) < beam, 1:] = -np.inf  # only the query itself
+            return sims, ids
+
+    for own in (None, np.arange(len(v))):
+        q, p = hnsw.links_of(Narrow(), v, 0.95, 1, own) if own is not None else hnsw.links_of(Narrow(), v, 0.95, 1)
+        found = set(zip(q.tolist(), p.tolist()))
+        assert all({(i, i + 1), (i + 1, i)} <= found for i in range(800, 2400, 2)) and len(q) == 800**2 + 2 * 1600
+
+
 def tokenized(rows, name, end):
     from tokenizers import Tokenizer
 
