@@ -531,7 +531,7 @@ def joint_qp(spark, sf_dir):
 
 @query()
 def topic_model(spark, sf_dir):
-    state, k = topics.fit(tables.bitext(spark, sf_dir), topics=2, sweeps=2, splits=1)
+    state, k = topics.fit(tables.bitext(spark, sf_dir), topics=4, sweeps=20, splits=1)
     return state.select("doc", "pos", "f", "e", topics.topic(k))
 
 

@@ -125,6 +125,15 @@ def test_topics_rerun_alike(spark):
     assert alpha[0] == pytest.approx(1) and alpha[1] == pytest.approx(1)
 
 
+def test_topic_model_runs_the_whole_schedule(spark, monkeypatch):
+    from lexshift.plans import catalog
+
+    seen = []
+    monkeypatch.setattr(topics, "sweep", lambda state, k, seed: seen.append(k) or state)
+    catalog.QUERIES["topic_model"](spark, "/root/testdata/sf0.001")
+    assert seen == [4] * 20 + [8] * 20
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "D.type.src").write_text("w\ta:1 b:2 a:3\nbad\nv\tc\n")
     rows = {(r["fr"], r["name"]): r["text"] for r in readers.type_features(spark, str(tmp_path / "D.type.src")).collect()}
