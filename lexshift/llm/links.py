@@ -10,8 +10,9 @@ all trust; a host that neither reaches is allowed.
 
 Links are the hosts of absolute href and src attributes and bare www names in the text,
 each once for a page; links inside a host don't count. An iteration is one join and one
-aggregation over hosts, written to the shared folder; it ends when the ranks move by less
-than TOLERANCE or after ROUNDS. Ranks meet pages in a join that Spark can split.
+aggregation over hosts, written to the shared folder; it ends when no host is reached for
+the first time and no rank moves by more than TOLERANCE of itself, so neither a host's
+distance nor the size of the graph decides what is seen. Ranks meet pages in a join that Spark can split.
 
 Defined cases: a url that is null or has no "://" has an empty host and path, which no rule
 fits, and is judged like any host; null html has no links; equal ids and repeated rows are
@@ -20,13 +21,17 @@ judged each; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexshift.session import staged
 
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-DAMPING, ROUNDS, TOLERANCE, MARGIN = 0.85, 12, 1e-4, 1.0
+DAMPING, TOLERANCE, MARGIN = 0.85, 1e-4, 1.0
+#: Shares that differ by less than this part of themselves are equal.
+EQUAL = 1e-9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"(?i)\b(?:href|src)\s{0,8}=\s{0,8}[\"']?\s{0,8}(?:[a-z][a-z0-9+.-]{0,15}:)?//([^/?#\"'\s<>]{1,255})"
 NAME = r"(?i)(?<![a-z0-9.@/-])(www\.[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){1,8})"
@@ -61,8 +66,8 @@ def page_hosts(pages: DataFrame, rules=RULES) -> DataFrame:
     return rows.select("page_id", "host", "path", best.alias("best"), links.alias("links")).select("page_id", "host", "path", "best.rule", F.col("best.verdict").alias("ruled"), "links")
 
 
-def host_verdicts(found: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, margin: float = MARGIN) -> DataFrame:
-    """Rows of page_hosts() to (host, trust, distrust, verdict) of all hosts that ranks reach."""
+def host_verdicts(found: DataFrame, damping: float = DAMPING, rounds: int | None = None, margin: float = MARGIN) -> DataFrame:
+    """Rows of page_hosts() to (host, trust, distrust, verdict) of all hosts that ranks reach; rounds bounds the iterations."""
     edges = found.select("host", F.explode("links").alias("to")).groupBy("host", "to").agg(F.count("*").alias("n"))
     edges = staged(edges, "host-links")
     ways = edges.select(F.lit("trust").alias("kind"), F.col("host").alias("src"), F.col("to").alias("dst"), "n").union(
@@ -78,19 +83,19 @@ def host_verdicts(found: DataFrame, damping: float = DAMPING, rounds: int = ROUN
     seeds = seeds.withColumn("seed", F.col("seed") / whole)
     ranks = staged(seeds.withColumnRenamed("seed", "rank"), "host-ranks")
     start = seeds.select("kind", "host", (F.col("seed") * (1 - damping)).alias("part"), F.lit(0.0).alias("was"))
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         passed = ranks.join(ways, (ranks["kind"] == ways["kind"]) & (ranks["host"] == ways["src"])).select(
             ways["kind"], F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("part"), F.lit(0.0).alias("was")
         )
         before = ranks.select("kind", "host", F.lit(0.0).alias("part"), F.col("rank").alias("was"))
         moved = staged(start.union(passed).union(before).groupBy("kind", "host").agg(F.sum("part").alias("rank"), F.sum("was").alias("was")), "host-ranks")
         ranks = moved.select("kind", "host", "rank")
-        if (moved.agg(F.sum(F.abs(F.col("rank") - F.col("was"))).alias("d")).first()["d"] or 0.0) < TOLERANCE:
+        if not moved.filter(F.abs(F.col("rank") - F.col("was")) > F.col("rank") * TOLERANCE).head(1):  # a new host moves by its whole rank
             break
     sums = {r["kind"]: r["t"] for r in ranks.groupBy("kind").agg(F.sum("rank").alias("t")).collect()}
     share = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank") / (sums.get(kind) or 1.0)).otherwise(0.0)).alias(kind)
     hosts = ranks.groupBy("host").agg(share("trust"), share("distrust"))
-    verdict = F.when(F.round("distrust", 9) > F.round(F.col("trust") * margin, 9), "block").otherwise("allow")
+    verdict = F.when(F.col("distrust") > F.col("trust") * margin * (1 + EQUAL), "block").otherwise("allow")
     return hosts.withColumn("verdict", verdict)
 
 

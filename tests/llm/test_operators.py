@@ -262,6 +262,18 @@ def test_link_ranks_against_plain_power_iteration(spark):
         assert all(got.get(n, (0, 0))[k] == pytest.approx(p[n] / sum(p.values()), abs=1e-3) for n in names)
 
 
+def test_link_verdicts_of_rare_and_far_hosts(spark):
+    big = [("big.net", "block", []) for _ in range(1000)]
+    chain = [(f"h{i}", None, [f"h{i - 1}"]) for i in range(1, 16)]
+    rare = [("h0", "block", [])] + [(f"r{i}", None, ["h0"]) for i in range(50)] + chain
+    rare += [(f"s{i}", None, ["r0"]) for i in range(1000)] + [(f"t{i}", None, ["s0"]) for i in range(100)]
+    found = spark.createDataFrame([*big, *rare, ("good", "allow", ["friend"])], "host string, ruled string, links array<string>")
+    got = {r["host"]: r for r in links.host_verdicts(found).collect()}
+    assert all(got[f"h{i}"]["verdict"] == "block" and got[f"h{i}"]["distrust"] > 0 for i in range(16))
+    assert all(got[f"r{i}"]["verdict"] == "block" for i in range(50)) and got["friend"]["verdict"] == "allow"
+    assert all(got[f"t{i}"]["verdict"] == "block" and got[f"t{i}"]["distrust"] < 5e-10 for i in range(100))
+
+
 def test_warc(spark):
     rows = [(1, "http://a/ b", "é\r\n\r\nWARC/1.0\r\n"), (2, None, "é\r\n\r\nWARC/1.0\r\n"), (3, "http://c", None), (4, "http://d", ""), (5, "http://e", "x" * 200000), (None, "http://f", "x" * 200000), (5, "http://e", "x" * 200000)]
     got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("first", F.lit(9))).collect()
