@@ -16,8 +16,8 @@ links, never all pairs. Components over all shards follow in Spark.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components link
 with nothing and are kept; vectors of different lengths don't link; equal vectors link;
-repeated rows count as other vectors; null ids are returned without a component of
-their own; an empty table gives an empty result; other columns are ignored.
+repeated rows count as other vectors; null ids link like others but name no component (one
+of null ids alone has a null component_id) and are kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -265,8 +265,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, shard_rows: int
     fine = usable(F.col("embedding")) & F.exists("embedding", lambda x: x != 0)
     v = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(fine, v).alias("v"))
-    distinct = rows.filter(F.col("v").isNotNull()).groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.count("vec_id").alias("named"))
-    distinct = staged(distinct.filter("named > 0").select(F.size("v").cast("long").alias("grp"), "id", "weight", "v"), "distinct-vectors")
+    distinct = rows.filter(F.col("v").isNotNull()).groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
+    top = distinct.agg(F.max("id").alias("top")).first()["top"]
+    top = -1 if top is None else top
+    # Vectors of null ids only stand under ids beyond all others, so they are the least of a component only if alone in it.
+    named = F.coalesce("id", F.lit(top).cast("long") + 1 + F.monotonically_increasing_id())
+    distinct = staged(distinct.select(F.size("v").cast("long").alias("grp"), named.alias("id"), "weight", "v"), "distinct-vectors")
     shards = max(SHARDS, -(-distinct.count() // shard_rows))
     found = staged(asked_of_shards(distinct, distinct, shards, _searched(cosine), FOUND), "vector-links")
     roots = staged(components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))), "vector-roots")
@@ -275,6 +279,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, shard_rows: int
         distinct.join(counts, distinct["id"] == counts["a"], "left")
         .join(roots, distinct["id"] == roots["node"], "left")
         .select("v", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("root", "id").alias("root"))
+        .withColumn("root", F.when(F.col("root") <= top, F.col("root")))
     )
     classes = staged(classes, "vector-classes")
     alone = rows.filter(F.col("v").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

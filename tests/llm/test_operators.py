@@ -129,6 +129,13 @@ def test_embedding_links_against_brute_force(spark):
     assert hnsw.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_embeddings_with_null_ids(spark):
+    rows = [(7, [1.0, 0.0]), (None, [1.0, 0.01]), (8, [1.0, 0.02]), (None, [0.0, 1.0]), (None, [0.01, 1.0])]
+    got = hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == 5 and all(r["kept"] for r in got if r["vec_id"] is None)
+    assert sorted((r["vec_id"] or 0, r["n_links"], r["component_id"] or 0) for r in got) == [(0, 1, 0), (0, 1, 0), (0, 2, 7), (7, 2, 7), (8, 2, 7)]
+
+
 def test_graph_search_recall():
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(300, 32))
