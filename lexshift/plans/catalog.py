@@ -574,7 +574,7 @@ def dt_newsense(spark, sf_dir):
     marks = staged(buckets.indicators(sparse, buckets.boundaries(sparse.join(parts["train"], "key", "left_semi"), parts["train"].count()), ["key"]), "marks")
     space, maps = learn.Space.of(marks), features.as_maps(marks, ["key"])
     sets = {p: staged(space.vectors(d.join(maps, "key", "left")), "vectors") for p, d in parts.items()}
-    best, model = learn.fit_trees(sets["train"], sets["dev"], [{"depth": 3, "bag": 4}, {"depth": 3, "boost": 2}])
+    best, model = learn.fit_trees(sets["train"], sets["dev"])
     return metrics.auroc(learn.scored(model, sets["test"]).select("label", "score"))
 
 

@@ -169,6 +169,15 @@ def test_learning(spark):
         Experiment(train=("a",), test=("a",))
 
 
+def test_dt_newsense_searches_the_whole_grid(spark, monkeypatch):
+    from lexshift.plans import catalog
+
+    seen, search = [], learn.search
+    monkeypatch.setattr(learn, "search", lambda train, dev, configs, make: seen.extend(configs) or search(train, dev, configs[:1], make))
+    assert catalog.QUERIES["dt_newsense"](spark, "/root/testdata/sf0.001").count() == 1
+    assert seen == learn.tree_configs() and len(seen) == 56
+
+
 def test_copula(spark):
     rows = spark.createDataFrame([(0, float(v)) for v in (1, 2, 2, 3)], "dim int, value double")
     assert sorted(r["cdf"] for r in copula.ecdf(rows).collect()) == [0.25, 0.75, 0.75, 1.0]
