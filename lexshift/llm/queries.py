@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexshift.llm import hnsw, links, mixing, packing, pii, simhash, token_orc, topk, toxicity, warc
-from lexshift.llm.tokens import public
 from lexshift.session import table
 
 
@@ -30,11 +29,11 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_orc.round_trip(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"))
+    return token_orc.round_trip(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
 def op7_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json")
 
 
 def op8_nra_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

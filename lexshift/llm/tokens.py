@@ -6,11 +6,18 @@ a text's ids are the ids of its space-separated units one after another. A batch
 split into units, each distinct unit is encoded once by the library and kept in a
 bounded cache, and the ids are gathered with numpy. A text with white space other
 than single spaces and single line ends is encoded by the library as a whole where
-units would not do (see ByteUnits). Strings of special tokens count as ordinary text.
+units would not do (see ByteUnits), and so is one that holds the string of a special
+token, which the library encodes as that token.
+
+A tokenizer is named by its path, or by its file's name among the public tokenizers; a
+name is resolved where it is used, in the tasks.
 """
 
 from __future__ import annotations
 
+import os
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,12 +48,14 @@ class _Units:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        #: The narrowest unsigned integers that hold every id.
+        self.width = "<u2" if max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0) < 1 << 16 else "<u4"
         self._clear()
 
     def _clear(self):
-        self.codes: dict[str, int] = {}
+        self.codes: dict[str | tuple[str], int] = {}
         self.marks: dict[str, list[int]] = {}
         self.starts = np.zeros(1, np.int64)
         self.lens = np.zeros(1, np.int64)
@@ -72,8 +81,8 @@ class _Units:
             ids = self.marks[text] = self.whole(text)
         return ids
 
-    def _lookup(self, units: list[str]) -> np.ndarray:
-        """Codes of units, -1 for those that make their text go the slow way."""
+    def _lookup(self, units: list[str | tuple[str]]) -> np.ndarray:
+        """Codes of units (in a tuple: a text's first one), -1 for those that make their text go the slow way."""
         get = self.codes.get
         found = np.fromiter((get(u, -2) for u in units), np.int64, len(units))
         missing = np.flatnonzero(found == -2)
@@ -117,6 +126,9 @@ class _Units:
         if first:
             codes[at[:-1]] = found[len(distinct) :]
         starts, lens, pool = self.starts, self.lens, self.pool
+        if self.special:
+            special = pc.match_substring_regex(texts, self.special, ignore_case=True).to_numpy(zero_copy_only=False)
+            codes[np.repeat(special, np.diff(at))] = -1
         slow = np.flatnonzero(np.minimum.reduceat(codes, at[:-1]) < 0) if len(codes) else np.zeros(0, np.int64)
         n = lens[codes]
         n[codes < 0] = 0
@@ -147,11 +159,11 @@ class ByteUnits(_Units):
         return pc.replace_substring(texts, "\n", " \n")
 
     def first_units(self, firsts):
-        return ["\x01" + u for u in firsts.to_pylist()]
+        return [(u,) for u in firsts.to_pylist()]
 
-    def ids_of(self, unit: str):
-        if unit[:1] == "\x01":
-            text = word = unit[1:]
+    def ids_of(self, unit: str | tuple[str]):
+        if isinstance(unit, tuple):
+            text = word = unit[0]
             if text[:1] == "\n":
                 return None
         elif unit[:1] == "\n":
@@ -165,7 +177,7 @@ class ByteUnits(_Units):
             if text[0] == "\n":
                 return [*self._mark("\n"), *self._merged(base), *self._mark(word[-1])]
             return [*(self._merged(text[:-1]) if text is word else self._kept(base, text[:-1])), *self._mark(word[-1])]
-        if not word or "\x01" in word or any(map(str.isspace, word)):
+        if not word or any(map(str.isspace, word)):
             return None
         return self.whole(text)
 
@@ -201,15 +213,17 @@ def slices(batches, column: str = "text", chunk: int = CHUNK):
 _LOADED: dict[tuple[str, str], _Units] = {}
 
 
-def encoder(path: str, kind: str) -> _Units:
-    """The process's encoder for a tokenizer file; kind: "byte" or "word"."""
-    if (path, kind) not in _LOADED:
+def encoder(tokenizer: str, kind: str) -> _Units:
+    """The process's encoder for a tokenizer (a path, or the name of a public one); kind: "byte" or "word"."""
+    if (tokenizer, kind) not in _LOADED:
         _LOADED.clear()
-        _LOADED[path, kind] = (ByteUnits if kind == "byte" else WordUnits)(path)
-    return _LOADED[path, kind]
+        path = tokenizer if os.sep in tokenizer else public(tokenizer)
+        _LOADED[tokenizer, kind] = (ByteUnits if kind == "byte" else WordUnits)(path)
+    return _LOADED[tokenizer, kind]
 
 
 def public(name: str) -> str:
+    """The path of a public tokenizer's file on this machine."""
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
