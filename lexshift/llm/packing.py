@@ -3,14 +3,17 @@
 A document's token ids are hashed into buckets; the bucket counts are projected to
 three dimensions by fixed random directions, scaled by the root of the document's
 length, and cut into a grid. The cell's place on a Hilbert curve is the document's
-key: neighbours on the curve have similar words. Documents are range-partitioned and
-sorted by that key; each partition is one stream of ids that is cut every 2048 ids.
-The rest of a stream, less than 2048 ids, is cut into sequences whose lengths are
-powers of two, which need no padding; so nothing is padded at all.
+key: neighbours on the curve have similar words. Documents are cut into ranges of that key with
+equal numbers of ids, whatever their documents' lengths: the ids of each cell of the curve (CELLS at most) are
+counted, a cell stands on the line of all ids in the curve's order, and this line is
+cut every SHARD_TOKENS ids. A cell that lies across a cut, such as one of many
+copies, deals its documents to its ranges by a hash. Each range is sorted and is one stream of ids
+that is cut every 2048 ids. The rest of a stream, less than 2048 ids, is cut into sequences
+whose lengths are powers of two, which need no padding; so nothing is padded at all.
 
 Defined cases: a null text counts as empty (the end id alone); repeated rows are packed
-each; documents with equal keys are ordered by id, length and ids, so large groups of
-copies spread over partitions; an empty table gives an empty result; other columns are ignored.
+each; documents with equal keys are ordered by id, length and ids; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +34,11 @@ END_ID = 1
 DIMS, BITS, BUCKETS, SEED = 3, 10, 1024, 7
 TOKENIZED = "doc_id long, key long, doc_tokens long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Ids of a range, and ranges at most (beyond these, ranges are longer).
+SHARD_TOKENS, SHARDS = 4_000_000, 50_000
+#: Cells of the curve whose ids are counted.
+CELL_BITS = 15
+CELLS = 1 << CELL_BITS
 #: Sequences of one task have ids from its number times this.
 SPAN = 1 << 40
 
@@ -86,14 +94,14 @@ def _tokenized(tokenizer: str, kind: str, end_id: int):
             ids, n = units.encode(batch.column("text"))
             ids = np.insert(ids, np.cumsum(n), end_id)
             n = n + 1
-            raw = ids.astype("<u2")  # ids of a vocabulary below 65,536
-            offsets = np.concatenate([[0], np.cumsum(n) * 2])
+            raw = ids.astype(units.width)
+            offsets = np.concatenate([[0], np.cumsum(n) * raw.itemsize])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array(document_keys(ids, n)),
                     pa.array(n),
-                    pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)]),
+                    pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).cast(pa.binary()),
                 ],
                 names=["doc_id", "key", "doc_tokens", "ids"],
             )
@@ -117,7 +125,8 @@ def _packed(length: int):
         for batch in batches:
             rows = []
             for doc, total, raw in zip(batch.column("doc_id").to_pylist(), batch.column("doc_tokens").to_pylist(), batch.column("ids")):
-                ids, start = np.frombuffer(raw.as_buffer(), "<u2"), 0
+                data, start = raw.as_buffer(), 0
+                ids = np.frombuffer(data, f"<u{data.size // total}")
                 while start < total:
                     offset = position % length
                     n = min(total - start, length - offset)
@@ -144,10 +153,25 @@ def _packed(length: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = END_ID, length: int = LENGTH) -> DataFrame:
+def dealt(tokenized: DataFrame, shard_tokens: int = SHARD_TOKENS) -> tuple[DataFrame, int]:
+    """Rows with key and doc_tokens, with the number of their range added; and the number of ranges."""
+    cell = F.shiftright("key", DIMS * BITS - CELL_BITS).alias("cell")
+    cells = sorted(tuple(r) for r in tokenized.groupBy(cell).agg(F.sum("doc_tokens")).collect())  # CELLS rows at most
+    before = np.concatenate([[0], np.cumsum([n for _, n in cells], dtype=np.int64)]).tolist()
+    each = max(shard_tokens, -(-before[-1] // SHARDS))
+    places = [(c, b, n) for (c, n), b in zip(cells, before)]
+    places = F.broadcast(tokenized.sparkSession.createDataFrame(places, "cell long, before long, cell_tokens long"))
+    spot = F.pmod(F.xxhash64("doc_id", "key", "doc_tokens"), F.lit(1 << 20)) / (1 << 20)
+    shard = F.floor((F.col("before") + F.floor(spot * F.col("cell_tokens"))) / each).cast("int")
+    rows = tokenized.withColumn("cell", cell).join(places, "cell")
+    return rows.select(shard.alias("shard"), *tokenized.columns), max(1, -(-before[-1] // each))
+
+
+def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = END_ID, length: int = LENGTH, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """(doc_id, text) to pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tokenized = staged(rows.mapInArrow(_tokenized(tokenizer, kind, end_id), TOKENIZED), "packing-tokens")
-    order = ["key", "doc_id", "doc_tokens", "ids"]
-    return tokenized.repartitionByRange(*order[:3]).sortWithinPartitions(*order).mapInArrow(_packed(length), PIECES)
+    shards, n = dealt(tokenized, shard_tokens)
+    ordered = shards.repartitionById(n, "shard").sortWithinPartitions("key", "doc_id", "doc_tokens", "ids")
+    return ordered.select(*tokenized.columns).mapInArrow(_packed(length), PIECES)
