@@ -1,30 +1,42 @@
 """SimHash near-duplicates by vantage-point trees.
 
-Fingerprints are grouped to distinct ones first, so copies cost one row. The
-distinct fingerprints are dealt to shards and every shard is searched with a
-vantage-point tree in the Hamming distance.
-
-Dealing: the 64 bits are cut into five blocks. The distance inside a block is a
-Hamming distance too, and the five add up to the whole distance; for a pair at four
-or fewer, one of them is 0. By the triangle bound a search with radius 0 in that
-block's metric stays in one shard, the one of equal block bits, so a fingerprint goes
-to five shards and every pair meets in at least one. A shard of more than SHARD_ROWS
-fingerprints is split into g parts by a hash, and each pair of parts is a shard of its
-own; so no task holds more than two parts, whatever the shard's size.
-
-Searching: a shard's tree splits at the median distance from a vantage point. A query
-q at distance d from it visits the inside if d - 4 <= median and the outside if
-d + 4 > median (both: it overlaps the boundary), and leaves are compared in full. Links
-feed a union-find; a shard returns one row for each fingerprint that isn't its
-own representative, never all pairs. Components over all shards follow in Spark.
+Fingerprints are grouped to distinct ones first, so copies cost one row.
+
+The metric. The 64 bits are cut into PARTS parts. Each part's Hamming distance is a metric of
+its own and the parts' distances add up to the whole distance, so two fingerprints within
+`radius` bits are within radius // PARTS bits in at least one part. There is one
+vantage-point tree for each part, searched with that smaller radius, which prunes far
+better than the whole distance does; what it finds is verified by the whole distance.
+
+Shards. The tree's upper levels are built on the driver from a bounded sample (SAMPLE
+fingerprints at most, and never more than a quarter of all): a node holds a vantage point and the
+median of the sample's distances from it, and fingerprints go inside or outside by their own
+distance d. A leaf is a shard. Every fingerprint is a member of one shard for each part. At a
+node that puts it inside, one with d + r > median also overlaps the boundary, and is sent
+outside as a query; queries go to every side that the triangle bound |d(q, v) - d(x, v)| <= r
+leaves open. So each near pair meets in exactly one shard for each part that finds it.
+
+Searching. A shard's own tree goes on in the same way, at every size, with vantage points of
+its own, until LEAF members are left; these are compared. A node whose members all agree in
+the part goes on by the whole distance. Links feed a union-find, members within the
+radius of a vantage point are linked to it at once, and a node whose rows are all of one component
+already is passed over; so a dense group costs no comparison of all its pairs. A shard
+returns one row for each fingerprint that isn't its own representative, never all
+pairs. Components over all shards follow in Spark.
+
+Copies: a fingerprint is one member for each part and, with s shards a part, about
+0.5 * s**0.4 times a query for uniform bits and a radius of 4 (README).
 
 Defined cases: a null or wordless text has fingerprint 0 and is linked like any other;
 fewer than four words make one shingle; repeated rows are returned each; null ids are
-kept and do not count for the smallest id; an empty table gives an empty result.
+kept and do not count for the smallest id (a component of null ids alone has a null
+component_id); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,24 +46,37 @@ from lexshift.llm.graph import components
 from lexshift.session import ship, staged
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-SHARD_ROWS = 4096
-LEAF = 96
+#: The parts of a fingerprint as masks: 22, 21 and 21 bits.
+PARTS = tuple(np.uint64(((1 << n) - 1) << at) for at, n in ((0, 22), (22, 21), (43, 21)))
+WHOLE = np.uint64((1 << 64) - 1)
+SHARD_ROWS, SHARDS, SAMPLE = 65_536, 4, 20_000
+LEAF = 64
+NO_ID = (1 << 63) - 1
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: bytes) -> int:
-    """The SimHash of a whole text in UTF-8."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of every shingle of a whole text in UTF-8, repeats included; none for a text without words."""
     from xxhash import xxh64_intdigest as h
 
     words = text.translate(LOWER).split()
     if not words:
-        return 0
-    joined, n = b" ".join(words), max(1, len(words) - SHINGLE + 1)
+        return np.zeros(0, np.uint64)
+    joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[: n - 1] + 1).tolist()]
-    ends = ends[SHINGLE - 1 :].tolist() if len(words) >= SHINGLE else [len(joined)]
-    hashes = np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, n)
+    ends = ends[shingle - 1 :].tolist() if len(words) >= shingle else [len(joined)]
+    return np.fromiter((h(joined[a:b], SEED) for a, b in zip(starts, ends)), np.uint64, n)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The SimHash of a whole text in UTF-8."""
+    return of_hashes(shingle_hashes(text, shingle))
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half the hashes."""
+    n = len(hashes)
     ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -103,36 +128,95 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def search(points: np.ndarray, queries: np.ndarray, found, radius: int = RADIUS, leaf: int = LEAF) -> None:
-    """Exact range search by a vantage-point tree over points (uint64), for all queries at once.
-
-    Calls found(query indices, point indices) with every pair within the radius. The tree is
-    built while the queries go down it: a branch that no query visits isn't built at all."""
-    stack = [(np.arange(len(points)), np.arange(len(queries)))]
+def _cut(distances: np.ndarray) -> int:
+    """Where distances fall into two parts: the median, or the greatest value below it; -1 if all are equal."""
+    cut = int(np.median(distances))
+    if cut >= distances.max():
+        below = distances[distances < distances.max()]
+        return int(below.max()) if len(below) else -1
+    return cut
+
+
+@dataclass
+class Shards:
+    """The upper levels of a vantage-point tree over one part's bits. Children below 0 are shards: ~child is the shard's number."""
+
+    part: np.uint64
+    radius: int
+    nodes: list = field(default_factory=list)  # vantage point, cut, inside, outside
+    shards: int = 0
+
+    def route(self, points: np.ndarray):
+        """(shard, indices, whether they are queries there) for all points, by the rules told above."""
+        stack = [(0 if self.nodes else -1, np.arange(len(points)), np.zeros(0, np.int64))]
+        while stack:
+            child, own, asked = stack.pop()
+            if child < 0:
+                yield ~child, own, False
+                yield ~child, asked, True
+                continue
+            vantage, cut, inside, outside = self.nodes[child]
+            d, e = (_distance(points[i] & self.part, vantage).astype(np.int64) for i in (own, asked))
+            near = own[(d <= cut) & (d + self.radius > cut)]
+            stack.append((inside, own[d <= cut], asked[e - self.radius <= cut]))
+            stack.append((outside, own[d > cut], np.concatenate([asked[e + self.radius > cut], near])))
+
+
+def build_shards(sample: np.ndarray, part: np.uint64, radius: int, shards: int) -> Shards:
+    """A tree whose leaves hold at most 1 / shards of the sample each, as far as the vantage points can tell them apart."""
+    tree, most, rng = Shards(part, radius), max(1, len(sample) // max(1, shards)), np.random.default_rng(1)
+    sample = sample & part
+
+    def grow(points: np.ndarray) -> int:
+        if len(points) > most:
+            tried = points[rng.choice(len(points), min(8, len(points)), replace=False)]
+            spread = [_distance(points, v).astype(np.int64) for v in tried]
+            best = max(range(len(tried)), key=lambda i: spread[i].var())
+            cut = _cut(spread[best])
+            if cut >= 0:
+                at = len(tree.nodes)
+                tree.nodes.append(None)
+                inside = spread[best] <= cut
+                tree.nodes[at] = tried[best], cut, grow(points[inside]), grow(points[~inside])
+                return at
+        tree.shards += 1
+        return -tree.shards
+
+    grow(sample)
+    return tree
+
+
+def search(points: np.ndarray, members: int, part: np.uint64, part_radius: int, radius: int, links: Links, leaf: int = LEAF) -> int:
+    """Joins in `links` what the pairs within the radius join, of the first `members` points with each other and with the
+    others (the queries): all pairs that part_radius in the part's bits leaves open. Returns the tree's number of nodes."""
+    stack, nodes = [(np.arange(members), np.arange(members, len(points)), part, part_radius)], 0
     while stack:
-        own, asked = stack.pop()
-        if not len(own) or not len(asked):
+        own, asked, mask, r = stack.pop()
+        if not len(own) or len(own) + len(asked) < 2:
             continue
-        if len(own) <= leaf:
-            for at in range(0, len(asked), 8192):
-                q = asked[at : at + 8192]
-                i, j = np.nonzero(_distance(queries[q][:, None], points[own][None, :]) <= radius)
-                if len(i):
-                    found(q[i], own[j])
+        roots = links.root(np.concatenate([own, asked]))
+        if (roots == roots[0]).all():
             continue
-        vantage = points[own[len(own) // 2]]
-        d = _distance(points[own], vantage).astype(np.int64)
-        cut = int(np.median(d))
-        if (d <= cut).all():
-            cut -= 1
-        inside = d <= cut
-        if not inside.any():  # all at one distance: compare in full, in pieces
-            half = len(own) // 2
-            stack += [(own[:half], asked), (own[half:], asked)]
+        if len(own) <= leaf:
+            both = np.concatenate([own, asked])
+            for at in range(0, len(both), 8192):
+                i, j = np.nonzero(_distance(points[both[at : at + 8192], None], points[own][None, :]) <= radius)
+                links.add(both[at + i], own[j])
             continue
-        e = _distance(queries[asked], vantage).astype(np.int64)
-        stack.append((own[inside], asked[e - radius <= cut]))
-        stack.append((own[~inside], asked[e + radius > cut]))
+        nodes += 1
+        vantage = own[len(own) // 2]
+        d, e = (_distance(points[i] & mask, points[vantage] & mask).astype(np.int64) for i in (own, asked))
+        for some in (own, asked):  # a star about the vantage point
+            near = some[_distance(points[some], points[vantage]) <= radius]
+            links.add(near, np.full(len(near), vantage))
+        cut = _cut(d)
+        if cut >= 0:
+            inside = d <= cut
+            stack.append((own[~inside], np.concatenate([asked[e + r > cut], own[inside & (d + r > cut)]]), mask, r))
+            stack.append((own[inside], asked[e - r <= cut], mask, r))
+        else:  # all agree in this part
+            stack.append((own, asked[e <= r], WHOLE, radius))
+    return nodes
 
 
 def _runs(batches, key: str):
@@ -156,55 +240,62 @@ def _runs(batches, key: str):
         yield pa.Table.from_batches(kept)
 
 
-def _linked(batches):
-    """Rows (shard, part, fp) in order of shard: links of each shard as (u, v) rows."""
-    for rows in _runs(batches, "shard"):
-        shard, fp, part = (rows.column(c).to_numpy() for c in ("shard", "fp", "part"))
-        bits, links = fp.view(np.uint64), Links(len(fp))
-        firsts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
-        sizes = np.diff(np.concatenate([firsts, [len(fp)]]))
-        small = np.repeat(sizes <= LEAF, sizes)
-        index = np.flatnonzero(small)
-        step = 1
-        while len(index):  # small shards are leaves: neighbours at each step, for all shards at once
-            index = index[index + step < len(fp)]
-            index = index[shard[index] == shard[index + step]]
-            near = index[_distance(bits[index], bits[index + step]) <= RADIUS]
-            links.add(near, near + step)
-            step += 1
-        for at, n in zip(firsts[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist()):
-            own, sides = bits[at : at + n], part[at : at + n]
-            if sides[0] == sides[-1]:
-                search(own, own, lambda q, p, at=at: links.add(at + q, at + p))
-            else:  # two parts of a large shard; each part's own pairs are another shard's
-                half = int(np.searchsorted(sides, sides[-1]))
-                search(own[:half], own[half:], lambda q, p, at=at, half=half: links.add(at + half + q, at + p))
-        roots = links.roots()
-        moved = np.flatnonzero(roots != np.arange(len(fp)))
-        yield pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[roots[moved]])], names=["u", "v"])
-
-
-def link_edges(prints: DataFrame) -> DataFrame:
-    """prints: distinct (fp). Edges (u, v) whose components are those of all links."""
-    block = lambda i, at, n: F.shiftleft(F.lit(i).cast("long"), 13) + F.shiftrightunsigned("fp", at).bitwiseAND((1 << n) - 1)
-    dealt = prints.select("fp", F.explode(F.array(*[block(i, at, n) for i, (at, n) in enumerate(BLOCKS)])).alias("key"))
-    large = dealt.groupBy("key").count().filter(F.col("count") > SHARD_ROWS).select("key", F.ceil(F.col("count") / SHARD_ROWS).alias("parts"))
-    dealt = dealt.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)).cast("long"))
-    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts"))
-    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.struct(F.least("own", j).alias("a"), F.greatest("own", j).alias("b")))
-    pairs = dealt.withColumn("own", own).withColumn("pair", F.explode(others))
-    shards = pairs.select(F.xxhash64("key", "pair.a", "pair.b").alias("shard"), F.col("own").alias("part"), "fp")
-    return shards.repartition("shard").sortWithinPartitions("shard", "part", "fp").mapInArrow(_linked, "u long, v long")
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def _routed(trees: list[Shards]):
+    def run(batches):
+        first = np.cumsum([0, *(t.shards for t in trees)])
+        for batch in batches:
+            points = batch.column("fp").to_numpy().view(np.uint64)
+            for base, tree in zip(first.tolist(), trees):
+                for shard, some, asks in tree.route(points):
+                    if len(some):
+                        rows = batch.take(pa.array(some))
+                        added = [pa.array(np.full(len(some), base + shard, np.int32)), pa.array(np.full(len(some), asks))]
+                        yield pa.RecordBatch.from_arrays([*added, *rows.columns], names=["shard", "asks", *rows.schema.names])
+
+    return run
+
+
+def _linked(trees: list[Shards], radius: int):
+    """Rows (shard, asks, fp, least) in order of shard: links of each shard as rows of two (least, fp)."""
+    parts = [t for t in trees for _ in range(t.shards)]
+
+    def run(batches):
+        for rows in _runs(batches, "shard"):
+            shard, asks, fp, least = (rows.column(c).to_numpy() for c in ("shard", "asks", "fp", "least"))
+            firsts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])).tolist()
+            for a, b in zip(firsts, [*firsts[1:], len(fp)]):
+                tree, links = parts[shard[a]], Links(b - a)
+                search(fp[a:b].view(np.uint64), int(np.count_nonzero(~asks[a:b])), tree.part, tree.radius, radius, links)
+                roots = links.roots()
+                moved = np.flatnonzero(roots != np.arange(b - a))
+                columns = [pa.array(c[a:b][i]) for i in (moved, roots[moved]) for c in (least, fp)]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "x", "b", "y"])
+
+    return run
+
+
+def link_edges(prints: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """prints: distinct (fp, least). Edges (u, v), structs of least and fp, whose components are those of all links."""
+    n = prints.count()
+    drawn = F.pmod(F.xxhash64("fp", F.lit(3)), F.lit(1 << 20)) < int(min(0.25, SAMPLE / max(1, n)) * (1 << 20))
+    sample = prints.filter(drawn).select("fp").limit(2 * SAMPLE).toArrow().column("fp").to_numpy()
+    shards = max(SHARDS, -(-n // shard_rows))
+    trees = [build_shards(np.sort(sample).view(np.uint64), part, radius // len(PARTS), shards) for part in PARTS]
+    routed = prints.select("fp", "least").mapInArrow(_routed(trees), "shard int, asks boolean, fp long, least long")
+    shards = routed.repartitionById(sum(t.shards for t in trees), "shard").sortWithinPartitions("shard", "asks", "fp")
+    found = shards.mapInArrow(_linked(trees, radius), "a long, x long, b long, y long")
+    node = lambda least, fp: F.struct(F.col(least).alias("least"), F.col(fp).alias("fp"))
+    return found.select(node("a", "x").alias("u"), node("b", "y").alias("v"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, text) to doc_id, fingerprint (16 hex digits), component_id."""
     prints = staged(fingerprints(docs), "fingerprints")
-    distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = staged(components(link_edges(distinct.select("fp"))), "roots")
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(least, "root").select("fp", "component_id")
+    # A class without an id stands behind all others.
+    distinct = staged(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("least")), "distinct-fingerprints")
+    roots = staged(components(link_edges(distinct, radius, shard_rows)).select(F.col("node.fp").alias("fp"), F.col("root.least").alias("root")), "roots")
+    classes = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "least").alias("component_id"))
+    classes = staged(classes.withColumn("component_id", F.when(F.col("component_id") != NO_ID, F.col("component_id"))), "fingerprint-classes")
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
