@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexshift.llm import hnsw, links, mixing, packing, simhash, token_orc, topk, toxicity, warc
+from lexshift.llm import graph, hnsw, links, mixing, packing, simhash, token_orc, topk, toxicity, warc
 from lexshift.llm.queries import ORACLES, QUERIES
 from lexshift.llm.tokens import public
 from lexshift.session import scratch
@@ -65,12 +65,79 @@ def test_simhash_finds_all_links(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     want = near_groups([(d["doc_id"], d["text"]) for d in docs])
     assert {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in rows} == want
-    rng = np.random.default_rng(2)  # a full shard, with the tree
-    base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
-    points = np.unique(np.concatenate([base, base ^ np.uint64(1), base ^ np.uint64(0b1111 << 20), base ^ np.uint64(0b11111 << 30)]))
-    found = set()
-    simhash.search(points, points, lambda q, p: found.update(zip(q.tolist(), p.tolist())), leaf=16)
-    assert found == {(i, int(j)) for i in range(len(points)) for j in np.flatnonzero(np.bitwise_count(points[i] ^ points) <= 4)}
+
+
+def forest(points):
+    """Roots of the components of points within four bits, by comparing all."""
+    links = simhash.Links(len(points))
+    for a in range(0, len(points), 256):
+        i, j = np.nonzero(np.bitwise_count(points[a : a + 256, None] ^ points[None, :]) <= 4)
+        links.add(a + i, j)
+    return links.roots()
+
+
+def planted(rng, n=3000):
+    """Distinct fingerprints: uniform ones, a third within few bits of one, and chains of links."""
+    few = lambda bits: np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (n, bits)).astype(np.uint64), axis=1)
+    base = rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)
+    chain = base[0] ^ np.cumsum(few(3))
+    return np.unique(np.concatenate([base, base ^ few(1), base ^ few(4), base ^ few(5), base[1] ^ few(3), base[1] ^ few(6), chain, [np.uint64(0)]]))
+
+
+@pytest.mark.parametrize("leaf", [2, 64])
+def test_vantage_point_tree_finds_all_links(leaf):
+    points = planted(np.random.default_rng(2))
+    links = simhash.Links(len(points))
+    nodes = [simhash.search(points, len(points), part, 1, 4, links, leaf) for part in simhash.PARTS]
+    assert min(nodes) > 50 and (links.roots() == forest(points)).all()
+    one, half = simhash.Links(len(points)), len(points) // 2  # members and queries
+    for part in simhash.PARTS:
+        simhash.search(points, half, part, 1, 4, one, leaf)
+        back = np.concatenate([points[half:], points[:half]])
+        two = simhash.Links(len(points))
+        simhash.search(back, len(points) - half, part, 1, 4, two, leaf)
+        moved = np.flatnonzero(two.roots() != np.arange(len(points)))
+        one.add((moved + half) % len(points), (two.roots()[moved] + half) % len(points))
+    assert (one.roots() == forest(points)).all()
+
+
+def test_shards_meet_every_near_pair():
+    points = planted(np.random.default_rng(3))
+    met = set()
+    for part in simhash.PARTS:
+        tree = simhash.build_shards(points[::4], part, 1, 16)
+        members, homes = collections.defaultdict(set), np.zeros(len(points), int)
+        asked = collections.defaultdict(set)
+        for shard, some, asks in tree.route(points):
+            (asked if asks else members)[shard].update(some.tolist())
+            homes[some] += not asks
+        assert (homes == 1).all() and len(members) > 10 and max(map(len, members.values())) < len(points) / 3
+        assert sum(map(len, asked.values())) < 3 * len(points)
+        for shard, own in members.items():
+            met.update((min(a, b), max(a, b)) for a in own for b in np.flatnonzero(np.bitwise_count(points[a] ^ points) <= 4).tolist() if b in own or b in asked[shard])
+    want = {(a, int(b)) for a in range(len(points)) for b in np.flatnonzero(np.bitwise_count(points[a] ^ points) <= 4) if a <= b}
+    assert met == want
+
+
+def test_simhash_query_searches_trees(spark, monkeypatch):
+    """The whole query on planted texts, and over many small shards, equals brute force."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["ka", "lo", "mi", "nu", "pe"], rng.integers(3, 9))) for _ in range(1500)]
+    docs = spark.createDataFrame([(i * 7 % 1500, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = near_groups([(i * 7 % 1500, t) for i, t in enumerate(texts)])
+    for rows in (simhash.SHARD_ROWS, 100):
+        got = {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in simhash.near_duplicates(docs, shard_rows=rows).collect()}
+        assert got == want and len({c for _, c in want.values()}) < 1500
+    prints = np.unique(np.array([p for p, _ in want.values()], np.uint64))  # a shard of this table has a tree of many nodes
+    assert simhash.search(prints, len(prints), simhash.PARTS[0], 1, 4, simhash.Links(len(prints))) > 5
+
+
+def test_components_of_hubs(spark):
+    edges = [(i, 0) for i in range(1, 2000)] + [(i, i + 1) for i in range(3000, 3200)] + [(4000 + i, 6000 - i) for i in range(500)] + [(5, 5), (3100, 1)]
+    frame = spark.createDataFrame(edges, "u long, v long")
+    got = {r["node"]: r["root"] for r in graph.components(frame).collect()}
+    assert all(got[i] == 0 for i in [*range(2000), *range(3000, 3201)]) and all(got[4000 + i] == got[6000 - i] == 4000 + i for i in range(500))
+    assert graph.components(frame.limit(0)).count() == 0
 
 
 def test_simhash_odd_rows(spark):
@@ -176,10 +243,28 @@ def tokenized(rows, name, end):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public(name))
-    t.encode_special_tokens = True
     return {i: [*t.encode(x or "", add_special_tokens=False).ids, end] for i, x in rows}
 
 
+@pytest.mark.parametrize("name, kind", [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_units_give_the_ids_of_the_library(name, kind):
+    """Against a tokenizer as the file makes it, on control characters, white space of all kinds and strings of special tokens."""
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from lexshift.llm.tokens import encoder
+
+    parts = "a|Hello|world| |  |\n|\n\n|\t|\x01|\x00|\x0b|\x85|\u2028|é|e\u0301|😀|don't|'s|12|.|,|...|ß|İ|ﬁ|日本|\r\n|\u200b|\ufeff|_|(x)".split("|")
+    parts += ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "a \x01b"]
+    plain, units, rng = Tokenizer.from_file(public(name)), encoder(name, kind), random.Random(1)
+    texts = ["".join(rng.choice(parts) + (" " if rng.random() < 0.4 else "") for _ in range(rng.randint(0, 12))) for _ in range(6000)]
+    ids, n = units.encode(pa.array(texts))
+    for text, got in zip(texts, np.split(ids, np.cumsum(n)[:-1])):
+        assert got.tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
@@ -188,20 +273,20 @@ def test_token_files(spark):
     docs = odd_documents(spark).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     want = tokenized([(r["doc_id"], r["text"]) for r in docs.collect()], "byte_bpe_50k.json", 2)
     path, start = scratch(spark, "tokens"), 0
-    token_orc.write_tokens(docs, path, public("byte_bpe_50k.json"))
+    token_orc.write_tokens(docs, path, "byte_bpe_50k.json")
     got = {r["doc_id"]: r for r in token_orc.summarize(spark, path).collect()}
     for i in sorted(want):
         assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(want[i]), crc(want[i]))
         start += len(want[i])
     assert token_orc.read_tokens(spark, path).filter("doc_id = 3").first()["ids"] == want[3]
-    assert token_orc.round_trip(odd_documents(spark), public("byte_bpe_50k.json")).count() == 14
-    assert token_orc.round_trip(odd_documents(spark, True), public("byte_bpe_50k.json")).count() == 0
+    assert token_orc.round_trip(odd_documents(spark), "byte_bpe_50k.json").count() == 14
+    assert token_orc.round_trip(odd_documents(spark, True), "byte_bpe_50k.json").count() == 0
 
 
 def test_packing(spark):
     docs = odd_documents(spark)
     want = tokenized([(r["doc_id"], r["text"]) for r in docs.collect()], "word_bpe_49k.json", 1)
-    rows = packing.pack(docs, public("word_bpe_49k.json")).collect()
+    rows = packing.pack(docs, "word_bpe_49k.json").collect()
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
         ids = want[r["doc_id"]]
@@ -216,7 +301,15 @@ def test_packing(spark):
             assert offset == at
             at += length
         assert at <= 2048 and at & (at - 1) == 0
-    assert packing.pack(odd_documents(spark, True), public("word_bpe_49k.json")).count() == 0
+    few = packing.pack(docs, "word_bpe_49k.json", shard_tokens=3000).collect()
+    whole = lambda rs: sum(r["length"] for r in rs)
+    assert whole(few) == whole(rows) and len({r["sequence_id"] >> 40 for r in few}) >= 3
+    assert packing.pack(odd_documents(spark, True), "word_bpe_49k.json").count() == 0
+    tokens = spark.range(4000).select((F.col("id") % 3 == 0).cast("long").alias("hot"), F.col("id").alias("doc_id"), F.when(F.col("id") % 100 == 7, 9000).otherwise(30).cast("long").alias("doc_tokens"))
+    tokens = tokens.select("doc_id", F.when(F.col("hot") == 1, 5).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))).cast("long").alias("key"), "doc_tokens")
+    ranges, n = packing.dealt(tokens, 40_000)  # a third has one key, a hundredth is long
+    sums = [r[1] for r in ranges.groupBy("shard").agg(F.sum("doc_tokens")).collect()]
+    assert sum(sums) == 4000 * 30 + 40 * 8970 and n == 12 and max(sums) < 110_000
     cells = np.array([(a, b) for a in range(8) for b in range(8)])
     walk = cells[np.argsort(packing.hilbert_keys(cells, 3))]
     assert (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
