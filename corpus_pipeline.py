@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexshift.llm import mixing, packing, pii, simhash, toxicity
-from lexshift.llm.tokens import public
 from lexshift.session import scratch, table
 
 
@@ -28,7 +27,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public("word_bpe_49k.json"))
+    return packing.pack(docs, "word_bpe_49k.json")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
