@@ -1,21 +1,25 @@
-"""Exact top-k by inner product without random access (NRA).
+"""Exact top-k by inner product with no random access (NRA).
 
 Components become integers, floor(256 x). Candidates are dealt to blocks of bounded
-size and every query meets every block. A block keeps one list for each dimension,
-sorted by value. A query reads the lists from the end that suits the sign of its own
-component, in rounds, each as deep again as all before. What has been read gives each
-candidate a lower bound (unread components at their list's far end) and an upper bound
-(unread components where reading stands). Reading stops when few candidates' upper
-bounds reach the k-th best lower bound; only for these are final scores resolved. Queries
-read in step: what lists show at a depth is one pair of matrices for a block, so the bounds of
-many queries are matrix products. Each block gives a query at most k rows, and a window of
-these gives the result.
+bytes and every query meets every block. A block keeps one list for each dimension,
+sorted by value, and reads all lists sequentially and at the same pace, from both ends
+towards the middle. What has been read of a candidate is kept in one matrix; of what has not
+been read it is known only that it lies between the two places where reading stands. That
+gives each candidate a lower and an upper bound of its score. Only the candidates whose upper
+bound reaches the k-th best lower bound are kept for a query. Reading is shared by all queries of a
+batch: a query is decided once no outsider can qualify, that is, when k candidates are left; the
+final scores of these come from reading on, as no vector is ever fetched by its id. Each block
+gives a query at most k rows, and a window of these gives the result.
+
+With many dimensions of like spread, as in the test tables, bounds meet late: most of each
+list is read, and plain scoring would cost less. The lists pay off where few
+dimensions carry most of the scores (README).
 
 Defined cases: vectors that are null or hold null or non-finite components take no part;
 shorter vectors count as ending in zeros; equal scores go to the smaller id; a repeated
 row is a candidate each time and a query once; a query without candidates gives no
-row; an empty table gives an empty result; other columns are ignored. Scores must stay
-below 2^53.
+row; an empty table gives an empty result; other columns are ignored. Scores that could reach
+2^53 raise an error, since doubles would no longer hold them.
 """
 
 from __future__ import annotations
@@ -30,43 +34,56 @@ from lexshift.llm.vectors import asked_of_shards, usable, widened
 from lexshift.session import ship
 
 SCALE, K, EVERY = 256, 5, 50
-BLOCK_ROWS = 8192
-#: Queries that read together.
-BATCH = 256
+#: Bytes of a block's values as doubles; its lists and what has been read of it take about three times as much.
+BLOCK_BYTES = 16 << 20
 #: Blocks at least, so that small tables use more than one task.
 BLOCKS = 6
+#: Queries that share one reading of the lists, and those whose bounds are made at once.
+BATCH, TOGETHER = 16_384, 256
+#: How far lists are read from each end, round by round, as parts of their half.
+STOPS = (0.25, 0.5, 0.75, 0.875, 0.9375, 1.0)
+EXACT = 1 << 53
 FOUND = "query_id long, vec_id long, score long"
 
 
 class SortedLists:
-    """One block's lists, sorted by value, and their sequential reading to one depth after another."""
+    """One block's lists, sorted by value, and how far they have been read."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors.astype(np.float64)
-        order = np.argsort(self.vectors, axis=0, kind="stable")
-        self.values = np.take_along_axis(self.vectors, order, axis=0)
-        self.rank = np.empty_like(order)
-        np.put_along_axis(self.rank, order, np.broadcast_to(np.arange(len(ids))[:, None], order.shape), axis=0)
+        self.ids = ids
+        self.order = np.argsort(vectors, axis=0, kind="stable").astype(np.int32)
+        self.values = np.take_along_axis(vectors, self.order, axis=0).astype(np.float64)
+        self.largest = float(np.abs(self.values).max(initial=0.0))
         self.by_id = np.argsort(ids, kind="stable")
-        self.at: dict[int, tuple] = {}
-
-    def _stand(self, depth: int) -> tuple:
-        """What reading all lists to a depth from the top and from the bottom has shown, for upper and lower bounds:
-        a candidate's value where it was read, less what is assumed of it where it was not; and these assumptions."""
-        if depth not in self.at:
-            n, v, low, high = len(self.ids), self.vectors, self.values[0], self.values[-1]
-            top, bottom = self.rank >= n - depth, self.rank < depth
-            edge_top, edge_bottom = self.values[n - depth], self.values[depth - 1]
-            self.at[depth] = (
-                (np.where(top, v - edge_top, 0), np.where(bottom, v - edge_bottom, 0), edge_top, edge_bottom),
-                (np.where(top, v - low, 0), np.where(bottom, v - high, 0), low, high),
-            )
-        return self.at[depth]
-
-    @staticmethod
-    def _bound(plus: np.ndarray, minus: np.ndarray, stand: tuple) -> np.ndarray:
-        from_top, from_bottom, edge_top, edge_bottom = stand
-        return plus @ from_top.T + minus @ from_bottom.T + (plus @ edge_top + minus @ edge_bottom)[:, None]
+        self.rewind()
+
+    def rewind(self) -> None:
+        self.depth = 0
+        self.known = np.zeros(self.values.shape)  # what has been read of each candidate
+        self.unread = np.ones(self.values.shape)
+
+    def read_to(self, depth: int) -> None:
+        """Reads on to a depth from both ends of every list, in the lists' order."""
+        n = len(self.ids)
+        column = np.arange(self.values.shape[1])[None, :]
+        ends = [(self.depth, n)] if 2 * depth >= n else [(self.depth, depth), (n - depth, n - self.depth)]
+        for a, b in ends:
+            b = min(b, n - self.depth)
+            self.known[self.order[a:b], column] = self.values[a:b]
+            self.unread[self.order[a:b], column] = 0.0
+        self.depth = depth
+
+    def edges(self) -> tuple[np.ndarray, np.ndarray]:
+        """Between which values of each list all lies that has not been read."""
+        n, d = len(self.ids), min(self.depth, (len(self.ids) - 1) // 2)
+        return self.values[d], self.values[n - 1 - d]
+
+    def bounds(self, queries: np.ndarray, some) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of the scores of some candidates, a row for each query."""
+        low, high = self.edges()
+        plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
+        sure, open_ = queries @ self.known[some].T, self.unread[some].T
+        return sure + (plus * low + minus * high) @ open_, sure + (plus * high + minus * low) @ open_
 
     def _own(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, candidate) places of equal ids."""
@@ -75,51 +92,66 @@ class SortedLists:
         row = np.repeat(np.arange(len(asked)), b - a)
         return row, self.by_id[np.repeat(a, b - a) + np.arange(len(row)) - np.repeat(np.cumsum(b - a) - (b - a), b - a)]
 
-    def top(self, asked: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query the ids and scores of its k best, best first. Queries that have stopped leave the rounds."""
-        n, out = len(self.ids), [None] * len(asked)
-        queries = queries.astype(np.float64)
-        open_, depth = np.arange(len(asked)), min(n, max(k + 1, n // 16))
-        while len(open_):
-            q = queries[open_]
-            plus, minus = np.maximum(q, 0), np.minimum(q, 0)
-            upper, lower = (self._bound(plus, minus, s) for s in self._stand(depth))
-            own = self._own(asked[open_])
-            upper[own], lower[own] = -np.inf, -np.inf
-            kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), -np.inf)
-            left = (upper >= kth[:, None]) & np.isfinite(upper)
-            stop = (left.sum(1) <= max(4 * k, n // 32)) | (depth == n)
-            for j in np.flatnonzero(stop).tolist():
-                some = np.flatnonzero(left[j])
-                scores = (self.vectors[some] @ q[j]).astype(np.int64)
-                best = np.lexsort((self.ids[some], -scores))[:k]
-                out[open_[j]] = self.ids[some[best]], scores[best]
-            open_, depth = open_[~stop], min(n, 2 * depth)
-        return out
+    def top(self, asked: np.ndarray, queries: np.ndarray, k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """For each query the ids and scores of its k best, best first; and how many entries of each list had been
+        read when it was decided."""
+        n, queries = len(self.ids), queries.astype(np.float64)
+        if self.largest * np.abs(queries).sum(1).max(initial=0.0) >= EXACT:
+            raise ValueError("scores reach 2^53")
+        self.rewind()
+        left: list = [None] * len(asked)  # the candidates that can still qualify
+        decided = np.full(len(asked), -1)
+        for stop in STOPS:
+            self.read_to(int(np.ceil(stop * n / 2)))
+            open_ = np.flatnonzero(decided < 0)
+            fresh = [q for q in open_ if left[q] is None]
+            for at in range(0, len(fresh), TOGETHER):
+                some = np.array(fresh[at : at + TOGETHER])
+                lower, upper = self.bounds(queries[some], slice(None))
+                own = self._own(asked[some])
+                lower[own], upper[own] = -np.inf, -np.inf
+                kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(some), -np.inf)
+                for j, q in enumerate(some.tolist()):
+                    left[q] = np.flatnonzero((upper[j] >= kth[j]) & np.isfinite(upper[j]))
+            for q in set(open_.tolist()) - set(fresh):
+                lower, upper = (b[0] for b in self.bounds(queries[q : q + 1], left[q]))
+                if len(lower) > k:
+                    left[q] = left[q][upper >= np.partition(lower, len(lower) - k)[len(lower) - k]]
+            for q in open_.tolist():
+                if len(left[q]) <= k:
+                    decided[q] = min(n, 2 * self.depth)
+        decided[decided < 0] = n  # ties
+        out = []
+        for q, some in enumerate(left):  # all has been read
+            scores = (self.known[some] @ queries[q]).astype(np.int64)
+            best = np.lexsort((self.ids[some], -scores))[:k]
+            out.append((self.ids[some[best]], scores[best]))
+        return out, decided
 
 
 def _searched(k: int):
     def run(members, queries):
         lists = SortedLists(members[0], members[2])
-        width = lists.vectors.shape[1]
+        width = lists.values.shape[1]
         for every, _, wide in queries:
             for at in range(0, len(every), BATCH):
                 ids, vectors = every[at : at + BATCH], widened(wide[at : at + BATCH], width)[:, :width]
-                got = lists.top(ids, vectors, k)
+                got, _ = lists.top(ids, vectors, k)
                 columns = np.repeat(ids, [len(g[0]) for g in got]), np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(vec_id, embedding): query_id, rank, vec_id, score for the queries whose id every divides."""
     ship(vectors.sparkSession)
     v = F.transform(F.col("embedding"), lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
     rows = vectors.filter(usable(F.col("embedding")) & F.col("vec_id").isNotNull())
     rows = rows.select(F.lit(0).cast("long").alias("grp"), F.col("vec_id").cast("long").alias("id"), F.lit(1).cast("long").alias("weight"), v.alias("v"))
     queries = rows.filter(F.col("id") % every == 0).distinct()
-    blocks = max(BLOCKS, -(-rows.count() // block_rows))
+    components = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(1)), F.count("*")).first()
+    blocks = max(BLOCKS, -(-8 * components[0] * components[1] // block_bytes))
     found = asked_of_shards(rows, queries, blocks, _searched(k), FOUND)
     rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

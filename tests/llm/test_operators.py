@@ -327,11 +327,40 @@ def test_top_k_odd_rows(spark):
     assert topk.top_k(odd.limit(0)).count() == 0
     rng = np.random.default_rng(6)
     v, ids = rng.integers(-60, 60, (3000, 16)), np.arange(3000)
-    for q, (got, scores) in zip(range(0, 3000, 300), topk.SortedLists(ids, v).top(ids[::300], v[::300], 5)):
+    got, depth = topk.SortedLists(ids, v).top(ids[::300], v[::300], 5)
+    for q, (found, scores) in zip(range(0, 3000, 300), got):
         s = v @ v[q]
         s[q] = -(1 << 40)
         best = np.lexsort((ids, -s))[:5]
-        assert got.tolist() == best.tolist() and scores.tolist() == s[best].tolist()
+        assert found.tolist() == best.tolist() and scores.tolist() == s[best].tolist()
+    assert depth.max() <= 3000
+    odd = odd.select("vec_id", "embedding", F.lit(1).alias("id"), F.lit(2).alias("shard"), F.lit("v").alias("v"), F.lit(3).alias("score"))
+    assert topk.top_k(odd).columns == ["query_id", "rank", "vec_id", "score"] and topk.top_k(odd).count() == len(rows)
+    huge = spark.createDataFrame([(0, [1e12]), (50, [1e12])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="2\\^53"):
+        topk.top_k(huge).collect()
+
+
+def test_lists_are_read_in_order_and_not_to_their_ends():
+    """On vectors whose scores few dimensions decide, and on those of a test table."""
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    skewed = rng.normal(size=(4000, 32)) * 0.3 ** np.arange(32) * 400
+    real = np.array([r[0] for r in duckdb.sql("SELECT embedding FROM '/root/testdata/sf0.1/embeddings.parquet' ORDER BY vec_id").fetchall()], float) * 256
+    for v, most in ((np.floor(skewed).astype(np.int64), 0.8), (np.floor(real).astype(np.int64), 1.0)):
+        lists = topk.SortedLists(np.arange(len(v)), v)
+        got, depth = lists.top(np.arange(0, len(v), 50), v[::50], 5)
+        for q, (found, scores) in zip(range(0, len(v), 50), got):
+            s = v @ v[q]
+            s[q] = -(1 << 60)
+            assert found.tolist() == np.lexsort((np.arange(len(v)), -s))[:5].tolist() and scores.tolist() == s[found].tolist()
+        assert np.mean(depth) < most * len(v)
+    lists.rewind()
+    lists.read_to(100)
+    read = lists.unread == 0
+    rank = np.argsort(np.argsort(v, axis=0, kind="stable"), axis=0)
+    assert (read == ((rank < 100) | (rank >= len(v) - 100))).all() and (lists.known[read] == v[read]).all() and not lists.known[~read].any()
 
 
 def test_links(spark):
