@@ -1,8 +1,9 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs.
 
 Equal vectors are grouped to one row with a weight. The distinct vectors are dealt to
-shards of bounded size; each shard builds its graph, and every vector is searched in
-every shard. A search keeps a beam of the best vectors seen and expands them until none
+shards of bounded bytes; each shard builds its graph, and every vector is searched in its
+own shard and in all later ones, where a link counts for both its ends: so every two vectors
+meet in one search at least. A search keeps a beam of the best vectors seen and expands them until none
 is left. If even the worst of a beam is a link, the beam is doubled for that query, so
 no number of links is cut off. After each batch of queries, some of it is compared with
 the whole shard (the audit): a uniform sample, and samples of the queries with few and with
@@ -12,7 +13,8 @@ of the batch are doubled, up to the whole shard. Every link is verified by its c
 double precision.
 
 A shard returns one count for each query with links and a spanning forest of the
-links, never all pairs. Components over all shards follow in Spark.
+links, never all pairs. Components over all shards follow in Spark. Vectors are shuffled in the
+type of their column; with s shards each is sent to (s + 1) / 2 of them as a query.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components link
 with nothing and are kept; vectors of different lengths don't link; equal vectors link;
@@ -33,7 +35,8 @@ from lexshift.llm.vectors import asked_of_shards, usable
 from lexshift.session import ship, staged
 
 COSINE = 0.95
-SHARD_ROWS, SHARDS = 100_000, 6
+#: Bytes of a shard's vectors as 32-bit floats, and shards at least, so that small tables use more than one task.
+SHARD_BYTES, SHARDS = 48 << 20, 6
 M, BUILD_BEAM, BEAM, EXPAND = 16, 40, 24, 4
 AUDIT, AUDIT_RECALL = 48, 0.995
 BATCH, VISITED = 512, 24_000_000
@@ -201,12 +204,12 @@ def links_of(graph: Graph, queries: np.ndarray, near: float, audit_seed: int, ow
     n, beam = len(graph.v), BEAM
     own = np.full(len(queries), -1) if own is None else own
     while True:
-        if beam * 4 >= n:  # as wide as the shard
+        if beam > BEAM and beam * 4 >= n:  # as wide as the shard
             pairs = [np.nonzero(queries[a : a + 256] @ graph.v.T >= near) for a in range(0, len(queries), 256)]
             return np.concatenate([p[0] + a for a, p in zip(range(0, len(queries), 256), pairs)]), np.concatenate([p[1] for p in pairs])
         found, todo, width = [], np.arange(len(queries)), beam
         while len(todo):
-            if width * 4 >= n:
+            if width > BEAM and width * 4 >= n:
                 for a in range(0, len(todo), 256):
                     i, j = np.nonzero(queries[todo[a : a + 256]] @ graph.v.T >= near)
                     found.append((todo[a : a + 256][i], j))
@@ -228,30 +231,43 @@ def links_of(graph: Graph, queries: np.ndarray, near: float, audit_seed: int, ow
         beam *= 2
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1, in double precision; scaled first, so that no square leaves its range."""
+    vectors = vectors.astype(np.float64)
+    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return vectors / np.linalg.norm(vectors, axis=1)[:, None]
+
+
 def _searched(cosine: float):
     def run(members, queries):
         ids, weights, vectors = members
-        unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+        unit = _unit(vectors)
         graph, links = Graph(unit.astype(np.float32)), Links(len(ids))
+        asked_by = np.zeros(len(ids), np.int64)  # links to vectors of other shards
         by_id = np.argsort(ids, kind="stable")
 
         def batch(kind, a, b, n):
             columns = [pa.array(np.full(len(a), kind, np.int32)), *(pa.array(np.asarray(c), pa.int64()) for c in (a, b, n))]
             return pa.RecordBatch.from_arrays(columns, names=["kind", "a", "b", "n"])
 
-        for k, (asked, _, vectors) in enumerate(queries):
-            vectors = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+        for k, (asked, asking, vectors) in enumerate(queries):
+            vectors = _unit(vectors)
             at = by_id[np.minimum(np.searchsorted(ids, asked, sorter=by_id), len(ids) - 1)]
-            q, p = links_of(graph, vectors.astype(np.float32), cosine - 1e-4, k, np.where(ids[at] == asked, at, -1))
+            own = np.where(ids[at] == asked, at, -1)
+            q, p = links_of(graph, vectors.astype(np.float32), cosine - 1e-4, k, own)
             sure = np.concatenate([np.einsum("bd,bd->b", vectors[q[a : a + 65536]], unit[p[a : a + 65536]]) for a in range(0, max(1, len(q)), 65536)]) >= cosine
             sure &= asked[q] != ids[p]
             q, p = q[sure], p[sure]
+            foreign = own[q] < 0
+            np.add.at(asked_by, p[foreign], asking[q[foreign]])
             if len(q):
                 order = np.argsort(q, kind="stable")
                 q, p = q[order], p[order]
                 first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
                 links.add(np.repeat(p[first], np.diff([*first, len(q)])), p)
                 yield batch(0, asked[q[first]], ids[p[first]], np.add.reduceat(weights[p], first))
+        linked = np.flatnonzero(asked_by)
+        yield batch(0, ids[linked], ids[linked], asked_by[linked])
         roots = links.roots()
         moved = np.flatnonzero(roots != np.arange(len(ids)))
         yield batch(1, ids[moved], ids[roots[moved]], np.zeros(len(moved)))
@@ -259,20 +275,23 @@ def _searched(cosine: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, shard_bytes: int = SHARD_BYTES, least_shards: int = SHARDS) -> DataFrame:
     """(vec_id, embedding) to vec_id, n_links, component_id, kept."""
     ship(vectors.sparkSession)
     fine = usable(F.col("embedding")) & F.exists("embedding", lambda x: x != 0)
-    v = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))
+    number = vectors.schema["embedding"].dataType.elementType.simpleString()
+    number = number if number in ("float", "double") else "double"
+    v = F.transform("embedding", lambda x: x.cast(number) + F.lit(0).cast(number))  # -0.0 becomes 0.0
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(fine, v).alias("v"))
     distinct = rows.filter(F.col("v").isNotNull()).groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
-    top = distinct.agg(F.max("id").alias("top")).first()["top"]
+    distinct = staged(distinct.select(F.size("v").cast("long").alias("grp"), "id", "weight", "v"), "distinct-vectors")
+    n, top, width = distinct.agg(F.count("*"), F.max("id"), F.max("grp")).first()
     top = -1 if top is None else top
     # Vectors of null ids only stand under ids beyond all others, so they are the least of a component only if alone in it.
     named = F.coalesce("id", F.lit(top).cast("long") + 1 + F.monotonically_increasing_id())
-    distinct = staged(distinct.select(F.size("v").cast("long").alias("grp"), named.alias("id"), "weight", "v"), "distinct-vectors")
-    shards = max(SHARDS, -(-distinct.count() // shard_rows))
-    found = staged(asked_of_shards(distinct, distinct, shards, _searched(cosine), FOUND), "vector-links")
+    distinct = staged(distinct.withColumn("id", named), "named-vectors")
+    shards = max(least_shards, -(-4 * n * (width or 1) // shard_bytes))
+    found = staged(asked_of_shards(distinct, None, shards, _searched(cosine), FOUND), "vector-links")
     roots = staged(components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))), "vector-roots")
     counts = found.filter("kind = 0").groupBy("a").agg(F.sum("n").alias("n"))
     classes = (

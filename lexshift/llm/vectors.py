@@ -14,18 +14,25 @@ def usable(v: Column) -> Column:
     return F.coalesce(F.forall(v, finite), F.lit(False))
 
 
-def asked_of_shards(members: DataFrame, queries: DataFrame, shards: int, run, schema: str) -> DataFrame:
+def asked_of_shards(members: DataFrame, queries: DataFrame | None, shards: int, run, schema: str) -> DataFrame:
     """Every query meets every shard. members and queries: (grp, id, weight, v); only rows of equal grp meet.
 
+    Without queries, members are the queries, and each of them meets its own shard and the later ones; so two members
+    of one shard meet both ways and others once.
+
     run(members, queries) gets one shard's members as (ids, weights, vectors) and an
     iterator over its queries' batches of the same form, and yields record batches. Members
     stay in memory, so a shard has bounded rows; queries stream.
     """
     columns = ["shard", "asks", "id", "weight", "v"]
-    own = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards))
-    members = members.withColumn("shard", own).withColumn("asks", F.lit(False))
-    queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).withColumn("asks", F.lit(True))
-    rows = members.unionByName(queries).withColumn("shard", F.col("grp") * 1_000_003 + F.col("shard")).select(*columns)
+    if queries is None:
+        members = members.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+        queries, first = members, F.col("shard")
+    else:  # a repeated id doesn't fill one shard
+        members = members.withColumn("shard", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(shards)))
+        first = F.lit(0).cast("long")
+    queries = queries.withColumn("shard", F.explode(F.sequence(first, F.lit(shards - 1).cast("long")))).withColumn("asks", F.lit(True))
+    rows = members.withColumn("asks", F.lit(False)).unionByName(queries).withColumn("shard", F.col("grp") * 1_000_003 + F.col("shard")).select(*columns)
     # By range, as few keys would collide by hash; more partitions than shards, so that each stands alone.
     rows = rows.repartitionByRange(4 * shards, "shard").sortWithinPartitions("shard", "asks", "id")
     return rows.mapInArrow(lambda batches: _by_shard(batches, run), schema)

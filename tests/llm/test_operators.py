@@ -181,18 +181,46 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(odd_documents(spark, True)).count() == mixing.apply_mix(odd_documents(spark, True)).count() == 0
 
 
-def test_embedding_links_against_brute_force(spark):
-    sf = "/root/testdata/sf0.01"
+def linked_by_brute_force(ids, v):
+    """n_links and component of each id, by comparing all."""
+    v = v / np.linalg.norm(v, axis=1)[:, None]
+    links, n = simhash.Links(len(v)), np.zeros(len(v), int)
+    order = np.argsort(ids)
+    ids, v = ids[order], v[order]
+    for a in range(0, len(v), 512):
+        i, j = np.nonzero(v[a : a + 512] @ v.T >= 0.95)
+        n += np.bincount(i + a, minlength=len(v))
+        links.add(i + a, j)
+    return {i: (k - 1, c) for i, k, c in zip(ids.tolist(), n.tolist(), ids[links.roots()].tolist())}
+
+
+@pytest.mark.parametrize("number, shard_bytes", [("float", hnsw.SHARD_BYTES), ("float", 64 * 4 * 200), ("double", 64 * 4 * 700)])
+def test_embedding_links_against_brute_force(spark, number, shard_bytes):
+    """Planted links: pairs, chains, a group of near copies of a third of all rows, exact copies."""
+    rng = np.random.default_rng(9)
+    far = rng.normal(size=(500, 64))
+    hot = rng.normal(size=64) + 0.02 * rng.normal(size=(700, 64))
+    chain = np.cumsum(np.concatenate([rng.normal(size=(1, 64)), 0.17 * rng.normal(size=(60, 64))]), axis=0)
+    v = np.concatenate([far, far[:200] + 0.05 * rng.normal(size=(200, 64)), far[:50], hot, hot[:90], chain, far[100:400] + 0.2 * rng.normal(size=(300, 64))]).astype(np.float32)
+    ids = rng.permutation(len(v)) * 3
+    want = linked_by_brute_force(ids, v.astype(float))
+    frame = spark.createDataFrame([(int(i), x.tolist(), "v", 7) for i, x in zip(ids, v)], f"vec_id long, embedding array<{number}>, v string, grp int")
+    rows = hnsw.near_duplicates(frame, shard_bytes=shard_bytes).collect()
+    assert len(rows) == len(v) and sum(n for n, _ in want.values()) > 700 * 700
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows}
+    assert sum(g[0] for g in got.values()) >= 0.999 * sum(n for n, _ in want.values()) and all(got[i][0] <= want[i][0] for i in want)
+    assert np.mean([got[i] == want[i] for i in want]) > 0.995 and all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in rows)
+
+
+def test_embedding_query_and_odd_rows(spark):
+    sf = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
-    ids, v = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
-    v /= np.linalg.norm(v, axis=1)[:, None]
-    n = ((v @ v.T) >= 0.95).sum(1) - 1
-    got = {r["vec_id"]: r["n_links"] for r in QUERIES["op5_embedding_dedup"](spark, sf).collect()}
-    assert sum(got.values()) >= 0.99 * n.sum() and all(got[i] <= k for i, k in zip(ids.tolist(), n.tolist()))
-    odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0, 0.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    want = linked_by_brute_force(np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float))
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in QUERIES["op5_embedding_dedup"](spark, sf).collect()} == want
+    odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0, 0.0]), (8, [1e300, 0.0, 0.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<double>")
     rows = hnsw.near_duplicates(odd).collect()
-    assert len(rows) == 9 and all(r["n_links"] == 0 and r["kept"] for r in rows if r["vec_id"] in (3, 4, 5, 6, 7))
-    assert {r["component_id"] for r in rows if r["vec_id"] in (1, 2)} == {1}
+    assert len(rows) == 10 and all(r["n_links"] == 0 and r["kept"] for r in rows if r["vec_id"] in (3, 4, 5, 6))
+    assert {r["component_id"] for r in rows if r["vec_id"] in (1, 2)} == {1} and {r["component_id"] for r in rows if r["vec_id"] in (7, 8)} == {7}
     assert hnsw.near_duplicates(odd.limit(0)).count() == 0
 
 
