@@ -5,7 +5,8 @@ longest fitting rule decides. For all other urls the host decides. Hosts whose r
 are mostly allowed are trusted seeds, those mostly blocked are blocked seeds, weighted by
 the surplus. Personalised PageRank spreads trust from trusted seeds along the links between
 hosts, and distrust from blocked seeds against them (who links to a blocked host is
-suspect). A host is blocked if its share of all distrust exceeds MARGIN times its share of
+suspect). What a host without links would pass on goes back to the seeds; that scales all ranks of a
+kind alike, and only shares are compared, so it is left out. A host is blocked if its share of all distrust exceeds MARGIN times its share of
 all trust; a host that neither reaches is allowed.
 
 Links are the hosts of absolute href and src attributes and bare www names in the text,
@@ -33,8 +34,8 @@ DAMPING, TOLERANCE, MARGIN = 0.85, 1e-4, 1.0
 #: Shares that differ by less than this part of themselves are equal.
 EQUAL = 1e-9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"(?i)\b(?:href|src)\s{0,8}=\s{0,8}[\"']?\s{0,8}(?:[a-z][a-z0-9+.-]{0,15}:)?//([^/?#\"'\s<>]{1,255})"
-NAME = r"(?i)(?<![a-z0-9.@/-])(www\.[a-z0-9-]{1,63}(?:\.[a-z0-9-]{1,63}){1,8})"
+LINK = r"(?i)\b(?:href|src)\s*+=\s*+[\"']?+\s*+(?:[a-z][a-z0-9+.-]*+:)?+//([^/?#\"'\s<>]++)"
+NAME = r"(?i)(?<![a-z0-9.@/-])(www(?:\.[a-z0-9-]++){2,})"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -73,7 +74,7 @@ def host_verdicts(found: DataFrame, damping: float = DAMPING, rounds: int | None
     ways = edges.select(F.lit("trust").alias("kind"), F.col("host").alias("src"), F.col("to").alias("dst"), "n").union(
         edges.select(F.lit("distrust"), F.col("to"), F.col("host"), "n")
     )
-    outs = ways.groupBy("kind", "src").agg(F.sum("n").alias("all"))
+    outs = staged(ways.groupBy("kind", "src").agg(F.sum("n").alias("all")), "host-outs")  # written, so that Spark can split the join at popular hosts
     ways = staged(ways.join(outs, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("share")), "host-ways")
     surplus = found.groupBy("host").agg(F.sum(F.when(F.col("ruled") == "allow", 1).when(F.col("ruled") == "block", -1).otherwise(0)).alias("surplus"))
     seeds = surplus.filter("surplus <> 0").select(F.when(F.col("surplus") > 0, "trust").otherwise("distrust").alias("kind"), "host", F.abs("surplus").cast("double").alias("seed"))
