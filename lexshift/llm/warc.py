@@ -6,19 +6,27 @@ converter reads the header line by these names and exactly as many bytes as decl
 synthesises the WARC record: an identifier derived from the record's own, a timestamp from
 the 14-digit date, type response or revisit, payload and block digests (base32 SHA-1).
 
-Web pages become ARC records first (a version block and one record each, both versions in
-use), then WARC records. Of records with equal payloads of at least `least` bytes, the one with
-the smallest page id is the response, others revisit it; which that is comes from an
-aggregation over digests, so no payload is compared with another. Files are written by
-Spark's text writer, whose line separator is the blank lines that end a WARC record, so they
-go to any file system and a lost task is written anew; each holds at most FILE_RECORDS
-records. Reading goes by Content-Length alone and checks every digest.
-
-Extension fields X-Page-Id and X-Refers-To-Page-Id carry page ids.
+An archive on disk is plain or gzip-compressed, of one member or one for each record. read_arc_files()
+reads the ARC files at a path, from any store that Spark reads; convert_files() turns them into WARC
+files. Of records with equal payloads of at least `least` bytes, the one with the smallest
+page id is the response, others revisit it; which that is comes from an aggregation over digests, so no
+payload is compared with another. round_trip() writes web pages as ARC files (both versions, the page id in
+an HTTP header), converts these files and reads the WARC files.
+
+Files are written by Spark's text writer, so they go to any file system and a lost task is
+written anew. A row of that writer is one file: whole records of FILE_BYTES together (or one longer
+record), joined by what ends a record in that format, which is also the writer's line
+separator. Such a file is one gzip member, as the writer cannot end a member after
+each record. A file is read as a whole, so it must stay below 2 GB. Reading goes by declared
+lengths alone and checks every digest.
+
+Extension fields X-Page-Id and X-Refers-To-Page-Id carry page ids, X-Payload-Length the size of
+the payload that a revisit leaves out.
 
 Defined cases: null html is an empty payload; null url is written as "-"; blanks and
 control characters in a url are percent-encoded; a null page id never is a group's smallest
-(if all are null, all are responses); rows of one id and payload all have its type; an
+(if all are null, all are responses); rows of one id and payload all have its type and
+one identifier; records of ARC files without X-Page-Id have null page ids; an
 empty table gives no records; other columns are ignored.
 """
 
@@ -35,10 +43,11 @@ from datetime import datetime
 from typing import BinaryIO, NamedTuple
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexshift.session import scratch, ship
+from lexshift.session import scratch, ship, staged
 
 #: Fixed values of the two formats.
 VERSION_1 = "URL IP-address Archive-date Content-type Archive-length"
@@ -46,7 +55,10 @@ VERSION_2 = "URL IP-address Archive-date Content-type Result-code Checksum Locat
 REVISIT = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
 
-ARCHIVED, ADDRESS, LEAST, FILE_RECORDS = "20200101000000", "0.0.0.0", 0, 4000
+ARCHIVED, ADDRESS, LEAST = "20200101000000", "0.0.0.0", 0
+#: Bytes of records that a file holds before compression, if no record is longer.
+FILE_BYTES = 16 << 20
+ARC_END, WARC_END = "\n", "\r\n\r\n"
 FOUND = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -70,10 +82,15 @@ def arc_header(version: int, url: str, mime: str, content: bytes, date: str = AR
     return f"{url} {ADDRESS} {date} {mime} 200 {digest(content)} - 0 {name} {len(content)}\n".encode()
 
 
+def arc_start(version: int, date: str = ARCHIVED, name: str = "pages.arc") -> bytes:
+    """The version block, with its header line."""
+    block = f"{version} 0 lexshift\n{VERSION_1 if version == 1 else VERSION_2}\n".encode()
+    return arc_header(version, f"filedesc://{name}", "text/plain", block, date, name) + block
+
+
 def arc_file(version: int, records: list[tuple[str, bytes]], date: str = ARCHIVED, name: str = "pages.arc") -> bytes:
     """An ARC file of (url, http response) records."""
-    block = f"{version} 0 lexshift\n{VERSION_1 if version == 1 else VERSION_2}\n".encode()
-    parts = [arc_header(version, f"filedesc://{name}", "text/plain", block, date, name), block, b"\n"]
+    parts = [arc_start(version, date, name), b"\n"]
     for url, content in records:
         parts += [arc_header(version, url, "text/html", content, date, name), content, b"\n"]
     return b"".join(parts)
@@ -131,7 +148,7 @@ def split_http(content: bytes) -> tuple[bytes, bytes]:
 def convert(arc: ArcRecord, page_id: int | None, first: int | None) -> bytes:
     """One ARC record as a WARC record. first: the page id of the response that has this payload, if known."""
     http, payload = split_http(arc.content)
-    name = lambda i: record_id(f"page:{i}")
+    name = lambda i: record_id(f"page:{i} {digest(payload)}")
     again = first is not None and first != page_id
     block = http if again else arc.content
     when = datetime.strptime(arc.fields["Archive-date"][:14].ljust(14, "0"), "%Y%m%d%H%M%S")
@@ -148,7 +165,7 @@ def convert(arc: ArcRecord, page_id: int | None, first: int | None) -> bytes:
     if page_id is not None:
         headers.append(("X-Page-Id", str(page_id)))
     if again:
-        headers += [("WARC-Profile", REVISIT), ("WARC-Refers-To", name(first)), ("X-Refers-To-Page-Id", str(first))]
+        headers += [("WARC-Profile", REVISIT), ("WARC-Refers-To", name(first)), ("X-Refers-To-Page-Id", str(first)), ("X-Payload-Length", str(len(payload)))]
     return _warc(headers, block)
 
 
@@ -170,11 +187,11 @@ def read_warc(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def summary(headers: dict[str, str], block: bytes) -> tuple:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to. The payload's size of a revisit is told by its HTTP headers."""
-    http, payload = split_http(block)
+    """page_id, payload_bytes, payload_digest, record_type, refers_to. The payload's size of a revisit is told by a field of its own."""
+    _, payload = split_http(block)
     told, kind = headers["warc-payload-digest"].removeprefix("sha1:"), headers["warc-type"]
     if kind == "revisit":
-        size = int(re.search(rb"(?i)\r\ncontent-length: *([0-9]+)", http)[1])
+        size = int(headers["x-payload-length"])
     else:
         size = len(payload)
         if digest(payload) != told:
@@ -187,34 +204,7 @@ def summary(headers: dict[str, str], block: bytes) -> tuple:
 
 
 def clean_url(url: str | None) -> str:
-    return re.sub(r"[\x00-\x20\x7f\x85  ]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "") or "-"
-
-
-def _converted(batches):
-    for batch in batches:
-        out = []
-        for k in range(batch.num_rows):
-            page, url, html, first = (batch.column(c)[k].as_py() for c in ("page_id", "url", "html", "first"))
-            payload = html or b""
-            http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-            version = 1 + (page or 0) % 2
-            for arc in read_arc(io.BytesIO(arc_file(version, [(clean_url(url), http + payload)]))):
-                out.append(convert(arc, page, first))
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
-
-
-def write_warc(pages: DataFrame, path: str, least: int = LEAST, records: int = FILE_RECORDS) -> None:
-    """(page_id, url, html) as compressed WARC files at path, by way of ARC records."""
-    ship(pages.sparkSession)
-    rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html")
-    ).withColumn("sum", F.sha1("html"))
-    sums = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
-    sums = sums.filter(F.octet_length("html") >= least).groupBy(F.sha1("html").alias("sum")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    firsts = sums.filter("n > 1 AND first IS NOT NULL").select("sum", "first")
-    rows = rows.join(firsts, "sum", "left").select("page_id", "url", "html", "first")
-    records_ = rows.mapInArrow(_converted, "record binary").select(F.col("record").cast("string").alias("value"))
-    records_.write.options(lineSep="\r\n\r\n", compression="gzip", maxRecordsPerFile=records).text(path)
+    return re.sub(r"[\x00-\x20\x7f\x85\xa0\u2028\u2029]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "") or "-"
 
 
 class _Unzipped(io.RawIOBase):
@@ -251,6 +241,101 @@ def opened(data: bytes) -> BinaryIO:
     return io.BufferedReader(_Unzipped(data), 1 << 16) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
 
 
+def _files(records: Iterator[bytes], end: bytes, file_bytes: int, start=lambda number: []):
+    """Batches of one row: the records of a file, joined by end; start(number) gives what a file begins with."""
+    held, size, number = [], 0, 0
+
+    def made():
+        return pa.RecordBatch.from_arrays([pa.array([end.join([*start(number), *held])], pa.large_binary()).cast(pa.binary())], names=["file"])
+
+    for record in records:
+        if held and size + len(record) > file_bytes:
+            yield made()
+            held, size, number = [], 0, number + 1
+        held.append(record)
+        size += len(record)
+    if held:
+        yield made()
+
+
+def _write(files: DataFrame, path: str, end: str) -> None:
+    files.select(F.col("file").cast("string").alias("value")).write.options(lineSep=end, compression="gzip", maxRecordsPerFile=1).text(path)
+
+
+def write_arc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """(page_id, url, html) as compressed ARC files at path; every other task writes version 2."""
+    ship(pages.sparkSession)
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html")
+    )
+
+    def run(batches):
+        def records():
+            for batch in batches:
+                for page, url, html in zip(*(batch.column(c) for c in ("page_id", "url", "html"))):
+                    payload, known = html.as_py(), f"X-Page-Id: {page.as_py()}\r\n" if page.is_valid else ""
+                    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{known}Content-Length: {len(payload)}\r\n\r\n".encode()
+                    yield clean_url(url.as_py()), http + payload
+
+        version = 1 + TaskContext.get().partitionId() % 2
+        made = (arc_header(version, url, "text/html", content) + content for url, content in records())
+        yield from _files(made, ARC_END.encode(), file_bytes, lambda number: [arc_start(version)])
+
+    _write(rows.mapInArrow(run, "file binary"), path, ARC_END)
+
+
+ARC_ROWS = "page_id long, url string, address string, date string, version int, payload_bytes long, payload_digest string, content binary"
+
+
+def read_arc_files(spark: SparkSession, path: str, contents: bool = True) -> DataFrame:
+    """The records of the ARC files at path (plain or gzip): page_id (of the HTTP header X-Page-Id, else null), url, address,
+    date, version, payload_bytes, payload_digest and, if asked for, content."""
+    ship(spark)
+    schema = ARC_ROWS if contents else ARC_ROWS.removesuffix(", content binary")
+    names, step = [c.split()[0] for c in schema.split(", ")], 8 << 20
+
+    def run(batches):
+        def made(rows):
+            types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary()]
+            columns = zip(*rows) if rows else [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+        for batch in batches:
+            for content in batch.column("content"):
+                rows, size = [], 0
+                for arc in read_arc(opened(content.as_buffer().to_pybytes())):
+                    http, payload = split_http(arc.content)
+                    page = re.search(rb"(?i)\r\nx-page-id: *(-?[0-9]+)\r\n", http)
+                    row = int(page[1]) if page else None, arc.fields["URL"], arc.fields["IP-address"], arc.fields["Archive-date"], arc.version, len(payload), digest(payload)
+                    rows.append((*row, arc.content) if contents else row)
+                    size += len(arc.content) if contents else 200
+                    if size > step:
+                        yield made(rows)
+                        rows, size = [], 0
+                yield made(rows)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
+
+
+def convert_files(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST, file_bytes: int = FILE_BYTES) -> None:
+    """The ARC files at one path as compressed WARC files at another."""
+    sums = read_arc_files(spark, arc_path, contents=False).filter(F.col("payload_bytes") >= least)
+    sums = sums.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL")
+    firsts = staged(sums.select("payload_digest", "first"), "first-responses")
+    rows = read_arc_files(spark, arc_path).join(firsts, "payload_digest", "left").select("page_id", "url", "address", "date", "version", "first", "content")
+
+    def run(batches):
+        def records():
+            for batch in batches:
+                for page, url, address, date, version, first, content in zip(*batch.columns):
+                    arc = ArcRecord({"URL": url.as_py(), "IP-address": address.as_py(), "Archive-date": date.as_py()}, content.as_py(), version.as_py())
+                    yield convert(arc, page.as_py(), first.as_py())
+
+        yield from _files(records(), WARC_END.encode(), file_bytes)
+
+    _write(rows.mapInArrow(run, "file binary"), warc_path, WARC_END)
+
+
 def _read(batches):
     names = [c.split()[0] for c in FOUND.split(", ")]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
@@ -275,10 +360,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read, FOUND)
 
 
-def round_trip(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    path = scratch(pages.sparkSession, "warc")
-    write_warc(pages, path, least)
-    return read_records(pages.sparkSession, path)
+def round_trip(pages: DataFrame, least: int = LEAST, file_bytes: int = FILE_BYTES) -> DataFrame:
+    spark = pages.sparkSession
+    arc, warc = scratch(spark, "arc"), scratch(spark, "warc")
+    write_arc(pages, arc, file_bytes)
+    convert_files(spark, arc, warc, least, file_bytes)
+    return read_records(spark, warc)
 
 
 ORACLE = """
