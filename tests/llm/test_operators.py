@@ -1,6 +1,7 @@
 """Every operator against a plain version, and its defined cases."""
 
 import collections
+import re
 import zlib
 
 import numpy as np
@@ -405,6 +406,83 @@ def test_links(spark):
     assert links.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_link_query_against_plain_version(spark):
+    """The whole query on generated pages whose links cross hosts: parsing, rules, ranks and verdicts in plain Python."""
+    import random
+    from html.parser import HTMLParser
+
+    rng = random.Random(12)
+    hosts = [f"{'www.' * (i % 3 == 0)}{n}{i}.{'org' if i % 11 == 0 else 'com' if i % 4 == 0 else 'net'}" for i, n in enumerate(["ab", "cd", "ef", "gh"] * 20)] + ["x" * 300 + ".net", "www.a.b.c.d.e.f.g.h.i.j.k.net"]
+    rows = []
+    for i in range(400):
+        host = rng.choice(hosts)
+        path = rng.choice(["/", "/fr/1", "/de/2", "/en/1", "", "?q", "/x#y"])
+        to = [rng.choice(hosts[:12] if rng.random() < 0.5 else hosts) for _ in range(rng.randint(0, 4))]
+        tags = [rng.choice([f'<a href="http://{h.upper()}/p">', f"<img SRC='//{h}?a'>", f'<a href = "https://{h}">', f'<a href="/{h}">']) for h in to]
+        rows.append((i, rng.choice(["http://", "https://"]) + (host.upper() if i % 9 == 0 else host) + path, "<p>" * rng.randint(0, 9) + "text".join(tags)))
+    rows += rows[:5] + [(500, None, '<a href="http://ab0.org">'), (501, "none", None), (502, "http://quiet.net/", "long " * 100_000)]
+
+    class Links(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.found = set()
+
+        def handle_starttag(self, tag, attrs):
+            for k, v in attrs:
+                if k in ("href", "src") and "//" in (v or ""):
+                    self.found.add(re.split("[/?#]", v.split("//", 1)[1])[0].lower())
+
+    def ruled(host, path):
+        fits = [(len(n + p), n + p, v) for v, n, p in links.RULES if (host == n or host.endswith("." + n)) and path.startswith(p)]
+        return max(fits)[1:] if fits else (None, None)
+
+    edges, surplus, pages = collections.Counter(), collections.Counter(), []
+    for i, url, html in rows:
+        rest = url.split("://", 1)[1] if "://" in (url or "") else ""
+        host = re.split("[/?#]", rest)[0].lower()
+        path = re.split("[?#]", rest[len(host) :])[0]
+        rule, verdict = ruled(host, path)
+        pages.append((i, host, path, rule, verdict))
+        surplus[host] += {"allow": 1, "block": -1, None: 0}[verdict]
+        parser = Links()
+        parser.feed(html or "")
+        for h in parser.found - {host, ""}:
+            edges[host, h] += 1
+    shares = []
+    for sign, way in ((1, edges), (-1, {(y, x): n for (x, y), n in edges.items()})):
+        seed = {h: n * sign for h, n in surplus.items() if n * sign > 0}
+        seed = {h: n / sum(seed.values()) for h, n in seed.items()}
+        out, rank = collections.Counter(), dict(seed)
+        for (x, _), n in way.items():
+            out[x] += n
+        for _ in range(300):  # dangling hosts give their rank back to the seeds
+            loose = sum(r for h, r in rank.items() if not out[h])
+            new = collections.defaultdict(float, {h: (0.15 + 0.85 * loose) * s for h, s in seed.items()})
+            for (x, y), n in way.items():
+                new[y] += 0.85 * rank.get(x, 0) * n / out[x]
+            rank = new
+        shares.append({h: r / sum(rank.values()) for h, r in rank.items()})
+    got = collections.Counter(tuple(r) for r in links.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), margin=1.0).select("page_id", "host", "path", "rule", "verdict").collect())
+    sure = 0
+    want = collections.Counter()
+    for i, host, path, rule, verdict in pages:
+        t, d = shares[0].get(host, 0), shares[1].get(host, 0)
+        if not verdict and abs(t - d) < 1e-2 * max(t, d):
+            continue  # too near to the threshold to tell
+        want[i, host, path, rule, verdict or ("block" if d > t else "allow")] += 1
+        sure += verdict is None
+    assert not want - got and sure > 150 and len({k[4] for k in want if k[3] is None}) == 2 and sum(got.values()) == len(rows)
+
+
+def test_link_threshold_ties(spark):
+    """Equal shares are no reason to block."""
+    found = spark.createDataFrame([("a", "allow", ["m"]), ("b", "block", []), ("m", None, ["b"])], "host string, ruled string, links array<string>")
+    got = {r["host"]: r for r in links.host_verdicts(found).collect()}
+    assert got["m"]["trust"] == pytest.approx(got["m"]["distrust"], rel=0.2) and got["a"]["verdict"] == "allow" and got["b"]["verdict"] == "block"
+    even = spark.createDataFrame([("a", "allow", ["m"]), ("b", "block", []), ("m", None, ["b", "a"]), ("b", None, ["m"])], "host string, ruled string, links array<string>")
+    assert {r["host"]: r["verdict"] for r in links.host_verdicts(even, margin=1e9).collect()}["m"] == "allow"
+
+
 def test_link_ranks_against_plain_power_iteration(spark):
     found = spark.createDataFrame([("a", "allow", ["b", "c"]), ("b", None, ["c"]), ("d", "block", []), ("c", None, ["d"])], "host string, ruled string, links array<string>")
     got = {r["host"]: (r["trust"], r["distrust"]) for r in links.host_verdicts(found, rounds=12).collect()}
@@ -454,6 +532,56 @@ def test_arc_versions():
         list(warc.read_arc(io.BytesIO(warc.arc_file(1, [("http://a", b"body")])[:-3])))
 
 
+def test_arc_files_of_others_are_converted(spark, tmp_path):
+    """Plain files and gzip files of one member a record, of both versions, written here without the library's writer."""
+    import base64
+    import gzip
+    import hashlib
+    import io
+
+    body = "<p>é\n\nhttp://x 1.1.1.1 20000101000000 text/html 5\n</p>".encode()
+    http = b"HTTP/1.1 200 OK\r\nX-Page-Id: %d\r\nContent-Length: %d\r\n\r\n"
+    block = b"1 0 crawler\nURL IP-address Archive-date Content-type Archive-length\n\n<?xml?>\n"
+    one = [b"filedesc://a.arc 0.0.0.0 19990101 text/plain %d\n%s\n" % (len(block), block)]
+    for i, payload in ((7, body), (3, body), (4, b"")):
+        content = http % (i, len(payload)) + payload
+        one.append(b"http://a/%d b 1.2.3.%d 1999010112%02d00 text/html %d\n%s\n" % (i, i, i, len(content), content))
+    block = b"2 0 crawler\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n"
+    two = [b"filedesc://b.arc 0.0.0.0 20010101000000 text/plain 200 - - 0 b.arc %d\n%s\n" % (len(block), block)]
+    two.append(b"http://c/ 9.9.9.9 20010203040506 text/html 200 - - 0 b.arc %d\n%s\n" % (len(body), body))  # no HTTP headers
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "a.arc").write_bytes(b"".join(one))
+    (tmp_path / "arc" / "b.arc.gz").write_bytes(b"".join(map(gzip.compress, two)))
+    warc.convert_files(spark, str(tmp_path / "arc"), str(tmp_path / "warc"), file_bytes=200)
+    rows = {r["page_id"]: r for r in warc.read_records(spark, str(tmp_path / "warc")).collect()}
+    sha = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    assert {i: (r["payload_bytes"], r["record_type"], r["refers_to"]) for i, r in rows.items()} == {3: (len(body), "response", None), 7: (len(body), "revisit", 3), None: (len(body), "revisit", 3), 4: (0, "response", None)}
+    assert rows[3]["payload_digest"] == rows[None]["payload_digest"] == sha
+    headers = {}
+    for file in (tmp_path / "warc").glob("*.gz"):
+        for h, _ in warc.read_warc(io.BytesIO(gzip.decompress(file.read_bytes()))):
+            headers[h["warc-target-uri"]] = h
+    assert headers["http://a/7 b"]["warc-date"] == "1999-01-01T12:07:00Z" and headers["http://a/7 b"]["warc-ip-address"] == "1.2.3.7"
+    assert headers["http://c/"]["warc-date"] == "2001-02-03T04:05:06Z" and headers["http://a/7 b"]["warc-refers-to"] == headers["http://a/3 b"]["warc-record-id"]
+
+
+def test_large_pages_and_many_files(spark, tmp_path):
+    pages = spark.range(60).select(F.col("id").alias("page_id"), F.lit("http://x").alias("url"), F.expr("repeat(concat('é', id % 20), 100000)").alias("html"))
+    warc.write_arc(pages, str(tmp_path / "arc"), file_bytes=1 << 20)
+    sizes = [len(gz_open(f)) for f in (tmp_path / "arc").glob("*.gz")]
+    assert len(sizes) > 15 and max(sizes) < 1_100_000
+    arcs = warc.read_arc_files(spark, str(tmp_path / "arc"))
+    assert arcs.select("version").distinct().count() == 2 and arcs.count() == 60
+    got = {r["page_id"]: r for r in warc.round_trip(pages, file_bytes=1).collect()}  # a record a file
+    assert all((got[i]["payload_bytes"], got[i]["refers_to"]) == (len(f"é{i % 20}".encode()) * 100000, i % 20 if i >= 20 else None) for i in range(60))
+
+
+def gz_open(path):
+    import gzip
+
+    return gzip.decompress(path.read_bytes())
+
+
 def test_pipeline_against_plain_version(spark, tmp_path):
     """Stages before packing, by plain Python over what each stage was given."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
