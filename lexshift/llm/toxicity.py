@@ -16,9 +16,13 @@ texts. A feature of toxic texts alone is 1 / prior times as frequent in P as in
 has nothing to do with it equally frequent; kept are those beyond the geometric middle of
 the two that are surely (by their z score) more frequent in P.
 
+How far weights are drawn to zero (DECAYS) and how much slack the risk has (SLACKS) is chosen
+inside the training folds: each pair is fitted without a fifth of the sample's texts, and the
+pair with the least positive-unlabelled error on that fifth is fitted again to all.
+
 Bounds (parameters): about POSITIVES confirmed and UNLABELLED other documents are drawn by a
-hash of their ids, and FEATURES words are kept; all else is done for every document. Only
-these words and their weights go to the tasks. Scores use texts alone, whole.
+hash of their ids; every word of theirs that passes the test above is a feature, and all else is done for every
+document. Only these words and their weights go to the tasks. Scores use texts alone, whole.
 
 Defined cases: a null, empty or wordless text scores by the intercept alone; labels of one
 document that disagree count as toxic; null ids are scored and never learnt from; without
@@ -39,9 +43,9 @@ from pyspark.sql import functions as F
 
 from lexshift.session import ship, staged
 
-POSITIVES, UNLABELLED, FEATURES = 6000, 12_000, 4096
+POSITIVES, UNLABELLED = 6000, 12_000
 LEAST_Z, FOLDS = 4.5, 5
-STEPS, RATE, DECAY, SLACK = 300, 0.05, 1e-4, 0.01
+STEPS, RATE, DECAYS, SLACKS = 300, 0.05, (1e-5, 1e-4, 1e-3), (0.0, 0.01, 0.03)
 STEMS = (4, 5, 6, 7, 8)
 CACHE, COUNTED = 400_000, 300_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -109,7 +113,7 @@ def _indexed(features: list[str]):
         present = Present(features)
         for batch in batches:
             rows = [np.array(sorted(present(t.as_py())), "<i4").tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(rows, pa.binary())], names=["cls", "at"])
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), batch.column("inner"), pa.array(rows, pa.binary())], names=["cls", "inner", "at"])
 
     return run
 
@@ -126,38 +130,60 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def learn(positive: list[bytes], unlabelled: list[bytes], prior: float, n_features: int) -> tuple[float, np.ndarray]:
-    """Bias and weights by non-negative PU risk with the logistic loss and Adam, over the whole sample at each step.
-
-    The chance that draws more or fewer toxic documents into the unlabelled part makes its risk as
-    negatives uncertain; SLACK is how far below zero the estimate may fall before a step goes against it."""
+class Cells:
+    """Rows of features, each packed as 32-bit numbers, as pairs of row and feature."""
 
-    def cells(rows):
+    def __init__(self, rows: list[bytes]):
         at = [np.frombuffer(r, "<i4") for r in rows]
-        return np.repeat(np.arange(len(at)), [len(a) for a in at]), np.concatenate([np.zeros(0, np.int32), *at]), len(at)
+        self.n, self.row = len(at), np.repeat(np.arange(len(at)), [len(a) for a in at])
+        self.feature = np.concatenate([np.zeros(0, np.int32), *at])
 
-    (pr, pc, n_p), (ur, uc, n_u) = cells(positive), cells(unlabelled)
+    def margins(self, bias: float, weights: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights[self.feature], self.n) + bias
+
+
+def learn(positive: list[bytes], unlabelled: list[bytes], prior: float, n_features: int, decay: float, slack: float) -> tuple[float, np.ndarray]:
+    """Bias and weights by non-negative PU risk with the logistic loss and Adam, over the whole sample at each step.
+
+    The chance that draws more or fewer toxic documents into the unlabelled part makes its risk as
+    negatives uncertain; slack is how far below zero the estimate may fall before a step goes against it."""
+    p, u = Cells(positive), Cells(unlabelled)
     w = np.zeros(n_features + 1)
     w[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, STEPS + 1):
-        zp, zu = np.bincount(pr, w[pc], n_p) + w[-1], np.bincount(ur, w[uc], n_u) + w[-1]
+        zp, zu = p.margins(w[-1], w), u.margins(w[-1], w)
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gu, as_negative = _sigmoid(zu) / n_u, prior * _sigmoid(zp) / n_p
-        if negative < -SLACK:
+        gu, as_negative = _sigmoid(zu) / u.n, prior * _sigmoid(zp) / p.n
+        if negative < -slack:
             gu, gp = -gu, as_negative
         else:
-            gp = -prior * _sigmoid(-zp) / n_p - as_negative
-        grad = np.bincount(pc, gp[pr], n_features + 1) + np.bincount(uc, gu[ur], n_features + 1)
+            gp = -prior * _sigmoid(-zp) / p.n - as_negative
+        grad = np.bincount(p.feature, gp[p.row], n_features + 1) + np.bincount(u.feature, gu[u.row], n_features + 1)
         grad[-1] += gp.sum() + gu.sum()
-        grad[:-1] += DECAY * w[:-1]
+        grad[:-1] += decay * w[:-1]
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
         rate = RATE * min(1.0, 2 * (1 - (step - 1) / STEPS))
         w -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return float(w[-1]), w[:-1]
 
 
-def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, n_features: int = FEATURES) -> Model | None:
+def chosen(rows: list[tuple[int, bool, bytes]], prior: float, n_features: int) -> tuple[float, float]:
+    """Decay and slack with the least positive-unlabelled error on the rows (class, inner, features) that are inner, fitted to the others."""
+    part = lambda cls, inner: [r for c, i, r in rows if c == cls and i == inner]
+    if not all(part(c, i) for c in (0, 1) for i in (False, True)):
+        return DECAYS[1], SLACKS[1]
+    held = [Cells(part(c, True)) for c in (0, 1)]
+
+    def error(how: tuple[float, float]) -> float:
+        model = learn(part(0, False), part(1, False), prior, n_features, *how)
+        p, u = ((h.margins(*model) >= 0).mean() for h in held)
+        return prior * (1 - p) + max(0.0, u - prior * p)
+
+    return min(((d, s) for d in DECAYS for s in SLACKS), key=error)
+
+
+def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model | None:
     """The classifier, from (doc_id, text) and (doc_id, toxic); None if there is nothing to learn from."""
     ship(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("id IS NOT NULL AND toxic IS NOT NULL")
@@ -176,7 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
         F.when(drawn("id", unlabelled, n_docs * (FOLDS - 1) / FOLDS, "u"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")),
     )
     sample = rows.select(F.explode(classes).alias("cls"), "text").withColumn("hash", F.xxhash64("text"))
-    sample = staged(sample.dropDuplicates(["cls", "hash"]).drop("hash"), "toxicity-sample")
+    inner = (F.pmod("hash", F.lit(5)) == 1).alias("inner")  # equal texts are on one side
+    sample = staged(sample.dropDuplicates(["cls", "hash"]).select("cls", inner, "text"), "toxicity-sample")
     size = {r["cls"]: r["count"] for r in sample.groupBy("cls").count().collect()}
     if len(size) < 2:
         return None
@@ -184,11 +211,12 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     pooled = (F.col("p") + F.col("u")) / (size[0] + size[1])
     z = (p - u) / F.sqrt(F.greatest(pooled * (1 - pooled), F.lit(1e-9)) * (1 / size[0] + 1 / size[1]))
     counts = sample.mapInArrow(_counted, "feature string, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    best = counts.filter((z >= LEAST_Z) & (p >= u * prior**-0.5)).orderBy(z.desc(), "feature").limit(n_features).select("feature")
-    features = [r["feature"] for r in best.collect()]  # n_features at most
-    seen = sample.mapInArrow(_indexed(features), "cls int, at binary").collect()  # bounded by the sample
-    of = lambda cls: sorted(r["at"] for r in seen if r["cls"] == cls)  # noqa: E731  in an order that does not depend on partitions
-    bias, weights = learn([bytes(b) for b in of(0)], [bytes(b) for b in of(1)], prior, len(features))
+    best = counts.filter((z >= LEAST_Z) & (p >= u * prior**-0.5)).select("feature")
+    features = sorted(r["feature"] for r in best.collect())  # words of the sample, which is bounded
+    seen = sample.select("cls", "inner", "text").mapInArrow(_indexed(features), "cls int, inner boolean, at binary").collect()
+    seen = sorted((r["cls"], r["inner"], bytes(r["at"])) for r in seen)  # in an order that does not depend on partitions
+    decay, slack = chosen(seen, prior, len(features))
+    bias, weights = learn([r for c, _, r in seen if c == 0], [r for c, _, r in seen if c == 1], prior, len(features), decay, slack)
     return Model(prior, bias, features, weights)
 
 

@@ -173,6 +173,76 @@ def test_toxicity_on_held_out_documents(spark):
     assert toxicity.judge(odd_documents(spark, True), labels).count() == 0
 
 
+def plain_toxicity(rows, toxic, prior):
+    """Scores by a dense version of the same definition: features, non-negative risk, settings chosen on a fifth of the training texts."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+
+    def of(text):
+        found = set(re.findall(r"[^\W\d_]+", text.lower()))
+        return {"=" + w for w in found} | {"^" + w[:k] for w in found for k in range(4, 9) if len(w) > k}
+
+    positive = {t for i, t in rows if not held(i) and toxic.get(i) == 1}
+    unlabelled = {t for i, t in rows if not held(i)}
+    count = lambda texts: collections.Counter(f for t in texts for f in of(t))
+    p, u, n, m = count(positive), count(unlabelled), len(positive), len(unlabelled)
+    names = []
+    for f in sorted(p):
+        pooled = (p[f] + u[f]) / (n + m)
+        z = (p[f] / n - u[f] / m) / np.sqrt(max(pooled * (1 - pooled), 1e-9) * (1 / n + 1 / m))
+        if z >= toxicity.LEAST_Z and p[f] / n >= u[f] / m * prior**-0.5:
+            names.append(f)
+    matrix = lambda texts: np.array([[f in of(t) for f in names] + [True] for t in texts], float).reshape(len(texts), -1)
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+
+    def fit(xp, xu, decay, slack):
+        w = np.zeros(len(names) + 1)
+        w[-1] = np.log(prior / (1 - prior))
+        a, b = np.zeros_like(w), np.zeros_like(w)
+        for t in range(1, 301):
+            zp, zu = xp @ w, xu @ w
+            against = np.mean(np.log1p(np.exp(zu))) - prior * np.mean(np.log1p(np.exp(zp)))
+            up = (sigmoid(zu)[:, None] * xu).mean(0) - prior * (sigmoid(zp)[:, None] * xp).mean(0)
+            g = -prior * (sigmoid(-zp)[:, None] * xp).mean(0) + up if against >= -slack else -up
+            g[:-1] += decay * w[:-1]
+            a, b = 0.9 * a + 0.1 * g, 0.999 * b + 0.001 * g * g
+            w = w - 0.05 * min(1.0, 2 * (1 - (t - 1) / 300)) * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.999**t)) + 1e-8)
+        return w
+
+    return names, matrix, fit, positive, unlabelled
+
+
+def test_toxicity_against_plain_version(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    rows, toxic = [], {}
+    for i in range(900):
+        t = list(rng.choice(vocabulary, 30))
+        if i % 7 == 0:
+            t[3:5] = [rng.choice(["gruk", "zolfenly", "zolfens"]), "mild"]
+        elif i % 5 == 0:
+            t[3] = "mild"
+        rows.append((i, " ".join(t)))
+        if i % 2 == 0:
+            toxic[i] = int(i % 7 == 0)
+    rows += [(1000 + i, rows[i][1]) for i in range(40)] + [(2000, ""), (2001, "gruk " * 50000)]
+    docs = spark.createDataFrame([(*r, 1.0, "x") for r in rows], "doc_id long, text string, score double, toxic string")
+    labels = spark.createDataFrame([(i, t, "clash", 5) for i, t in toxic.items()] + [(None, 1, "", 0), (3, None, "", 0)], "doc_id long, toxic int, text string, id int")
+    known = [t for i, t in toxic.items() if zlib.crc32(str(i).encode()) % 5]
+    prior = sum(known) / len(known)
+    names, matrix, fit, positive, unlabelled = plain_toxicity(rows, toxic, prior)
+    model = toxicity.train(docs, labels)
+    assert model.prior == pytest.approx(prior) and model.features == names and len(names) > 5
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    fits = []
+    for decay in toxicity.DECAYS:
+        for slack in toxicity.SLACKS:
+            w = fit(matrix(positive), matrix(unlabelled), decay, slack)
+            fits.append(max(abs(got[i] - 1 / (1 + np.exp(-z))) for (i, _), z in zip(rows, matrix([t for _, t in rows]) @ w)))
+    assert min(fits) < 1e-6 and len(got) == len(rows)
+    best = toxicity.chosen([(c, k % 3 == 0, np.array([0] if c == 0 or k % 10 == 0 else [], "<i4").tobytes()) for c in (0, 1) for k in range(90)], 0.1, 1)
+    assert best[0] in toxicity.DECAYS and best[1] in toxicity.SLACKS
+
+
 def test_mixing_odd_rows(spark):
     rows = mixing.mix(odd_documents(spark)).collect()
     assert len(rows) == 14 and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
