@@ -159,7 +159,7 @@ def learn(positive: list[bytes], unlabelled: list[bytes], prior: float, n_featur
             gu, gp = -gu, as_negative
         else:
             gp = -prior * _sigmoid(-zp) / p.n - as_negative
-        grad = np.bincount(p.feature, gp[p.row], n_features + 1) + np.bincount(u.feature, gu[u.row], n_features + 1)
+        grad = np.bincount(p.feature, gp[p.row], n_features + 1) + np.bincount(u.feature, gu[u.row], n_features + 1) + 0.0  # without features, counts are integers
         grad[-1] += gp.sum() + gu.sum()
         grad[:-1] += decay * w[:-1]
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad**2
