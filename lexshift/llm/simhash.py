@@ -27,20 +27,34 @@ pairs. Components over all shards follow in Spark.
 Copies: a fingerprint is one member for each part and, with s shards a part, about
 0.5 * s**0.4 times a query for uniform bits and a radius of 4 (README).
 
+Similar texts, for the pipeline (keep_one). Texts that share 0.8 of their distinct five-word shingles
+differ in some 10 of 64 bits, give or take 3: too many for the above and too vague. So keep_one() takes
+fingerprints of WIDE bits (signs of a Hadamard transform of signed counts of shingles), in which two texts of that
+similarity differ in 155 on average, give or take 12, and unrelated ones in 512. A link is a distance of at most
+WIDE_RADIUS, which 9 of 10 pairs of similarity 0.8 keep, 3 of 10 of similarity 0.75 and 1 of 40 of 0.7. As trees over all
+texts would hardly prune at that radius, shards are texts that share two of LEAST_HASHES least hashes
+(each the least of a text's shingles' hashes under another mixing), which two texts of similarity 0.8 fail to
+do in 2 of 1000 cases, or whose fingerprints are equal. In a shard the fingerprints are
+searched with a tree as above. A shard of more than WIDE_ROWS is dealt into parts by a hash, and
+every two parts are a shard.
+
 Defined cases: a null or wordless text has fingerprint 0 and is linked like any other;
 fewer than four words make one shingle; repeated rows are returned each; null ids are
 kept and do not count for the smallest id (a component of null ids alone has a null
-component_id); an empty table gives an empty result.
+component_id); an empty table gives an empty result. keep_one() keeps all rows of null ids, and of
+several rows of one id, which count as one document, the one whose text comes first.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from lexshift.llm.graph import components
 from lexshift.session import ship, staged
@@ -51,6 +65,7 @@ PARTS = tuple(np.uint64(((1 << n) - 1) << at) for at, n in ((0, 22), (22, 21), (
 WHOLE = np.uint64((1 << 64) - 1)
 SHARD_ROWS, SHARDS, SAMPLE = 65_536, 4, 20_000
 LEAF = 64
+WIDE, WIDE_SHINGLE, WIDE_RADIUS, WIDE_ROWS, LEAST_HASHES = 1024, 5, 170, 4096, 6
 NO_ID = (1 << 63) - 1
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -128,6 +143,12 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of fingerprints of several words, which the last axis holds."""
+    bits = np.bitwise_count(a ^ b)
+    return bits[..., 0] if bits.shape[-1] == 1 else bits.sum(axis=-1, dtype=np.uint16)
+
+
 def _cut(distances: np.ndarray) -> int:
     """Where distances fall into two parts: the median, or the greatest value below it; -1 if all are equal."""
     cut = int(np.median(distances))
@@ -188,7 +209,9 @@ def build_shards(sample: np.ndarray, part: np.uint64, radius: int, shards: int)
 
 def search(points: np.ndarray, members: int, part: np.uint64, part_radius: int, radius: int, links: Links, leaf: int = LEAF) -> int:
     """Joins in `links` what the pairs within the radius join, of the first `members` points with each other and with the
-    others (the queries): all pairs that part_radius in the part's bits leaves open. Returns the tree's number of nodes."""
+    others (the queries): all pairs that part_radius in the part's bits leaves open. A point is a word or a row of
+    words. Returns the tree's number of nodes."""
+    points = points[:, None] if points.ndim == 1 else points
     stack, nodes = [(np.arange(members), np.arange(members, len(points)), part, part_radius)], 0
     while stack:
         own, asked, mask, r = stack.pop()
@@ -200,22 +223,24 @@ def search(points: np.ndarray, members: int, part: np.uint64, part_radius: int,
         if len(own) <= leaf:
             both = np.concatenate([own, asked])
             for at in range(0, len(both), 8192):
-                i, j = np.nonzero(_distance(points[both[at : at + 8192], None], points[own][None, :]) <= radius)
+                i, j = np.nonzero(_apart(points[both[at : at + 8192], None], points[own][None, :]) <= radius)
                 links.add(both[at + i], own[j])
             continue
         nodes += 1
         vantage = own[len(own) // 2]
-        d, e = (_distance(points[i] & mask, points[vantage] & mask).astype(np.int64) for i in (own, asked))
+        d, e = (_apart(points[i] & mask, points[vantage] & mask).astype(np.int64) for i in (own, asked))
         for some in (own, asked):  # a star about the vantage point
-            near = some[_distance(points[some], points[vantage]) <= radius]
+            near = some[_apart(points[some], points[vantage]) <= radius]
             links.add(near, np.full(len(near), vantage))
         cut = _cut(d)
         if cut >= 0:
             inside = d <= cut
             stack.append((own[~inside], np.concatenate([asked[e + r > cut], own[inside & (d + r > cut)]]), mask, r))
             stack.append((own[inside], asked[e - r <= cut], mask, r))
-        else:  # all agree in this part
+        elif mask != WHOLE:  # all agree in this part
             stack.append((own, asked[e <= r], WHOLE, radius))
+        else:  # all are equal
+            links.add(own[1:], np.full(len(own) - 1, vantage))
     return nodes
 
 
@@ -299,11 +324,113 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHA
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stay: of each component the one of the smallest id, once, and all without an id."""
-    found = near_duplicates(docs).filter("doc_id = component_id").groupBy("doc_id").count()
-    found = staged(found, "kept-ids")
-    kept = docs.join(found.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if found.filter("count > 1").head(1):  # repeated rows; else no text is shuffled for this
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+_MIX = 0x9E3779B97F4A7C15
+
+
+def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    """Other hashes of hashes: splitmix64 of h and a salt."""
+    z = h + np.uint64(salt * _MIX % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def signed_counts(h: np.ndarray) -> np.ndarray:
+    """Of distinct shingles' hashes: each adds 1 or -1 to one of WIDE counts."""
+    z = _mixed(h, 1)
+    sign = (z >> np.uint64(63)).astype(np.float32) * 2 - 1
+    return np.bincount((z & np.uint64(WIDE - 1)).astype(np.int64), sign, WIDE)
+
+
+def wide_fingerprints(counts: np.ndarray) -> np.ndarray:
+    """Rows of signed counts to rows of words: the signs of their Hadamard transforms."""
+    n, step = len(counts), 1
+    x = counts.astype(np.float32)
+    while step < WIDE:
+        x = x.reshape(n, -1, 2, step)
+        x = np.stack([x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]], axis=2)
+        step *= 2
+    return np.packbits(x.reshape(n, WIDE) > 0, axis=1, bitorder="little").view(np.uint64)
+
+
+def shard_keys(h: np.ndarray) -> np.ndarray:
+    """Of distinct shingles' hashes: a key for every two of the least hashes under LEAST_HASHES mixings."""
+    if not len(h):
+        return np.zeros(1, np.uint64)
+    least = [_mixed(h, 101 + i).min() for i in range(LEAST_HASHES)]
+    pairs = [(i, j) for i, j in combinations(range(LEAST_HASHES), 2)]
+    one, two = (np.array([least[p[k]] for p in pairs], np.uint64) for k in (0, 1))
+    return _mixed(one, 7) ^ _mixed(two + np.arange(len(pairs), dtype=np.uint64), 8)
+
+
+def _sketched(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            rows = batch.slice(at, 256)
+            texts = rows.column("text").cast(pa.large_binary())
+            hashes = [np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.is_valid else b"", WIDE_SHINGLE)) for t in texts]
+            prints = wide_fingerprints(np.stack([signed_counts(h) for h in hashes]))
+            keys = [np.append(shard_keys(h), _mixed(p, 9).sum()) for h, p in zip(hashes, prints)]  # and one of equal fingerprints
+            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([p.tobytes() for p in prints], pa.binary()), lists], names=["doc_id", "fp", "keys"])
+
+
+def _linked_wide(radius: int):
+    """Rows (shard, part, least, fp) in order of shard and part: links of each shard as rows of two ids."""
+
+    def run(batches):
+        for rows in _runs(batches, "shard"):
+            shard, part, least = (rows.column(c).to_numpy() for c in ("shard", "part", "least"))
+            points = np.frombuffer(b"".join(rows.column("fp").to_pylist()), np.uint64).reshape(len(least), -1)
+            links = Links(len(least))
+            firsts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+            sizes = np.diff([*firsts, len(least)])
+            at = np.flatnonzero(np.repeat((sizes <= 16) & (sizes > 1), sizes))
+            for step in range(1, 16):  # small shards are leaves: neighbours at each step, for all shards at once
+                at = at[at + step < len(least)]
+                at = at[shard[at] == shard[at + step]]
+                near = at[_apart(points[at], points[at + step]) <= radius]
+                links.add(near, near + step)
+            for a, n in zip(firsts[sizes > 16].tolist(), sizes[sizes > 16].tolist()):
+                members = int(np.searchsorted(part[a : a + n], part[a], "right"))  # of two parts; the second's own pairs are another shard's
+                own = Links(n)
+                search(points[a : a + n], members, WHOLE, radius, radius, own)
+                roots = own.roots()
+                moved = np.flatnonzero(roots != np.arange(n))
+                links.add(a + moved, a + roots[moved])
+            roots = links.roots()
+            moved = np.flatnonzero(roots != np.arange(len(least)))
+            yield pa.RecordBatch.from_arrays([pa.array(least[moved]), pa.array(least[roots[moved]])], names=["u", "v"])
+
+    return run
+
+
+def similar_edges(sketches: DataFrame, radius: int = WIDE_RADIUS, shard_rows: int = WIDE_ROWS) -> DataFrame:
+    """sketches: (least, fp, keys). Edges (u, v) between the ids `least` whose components are those of all links."""
+    dealt = sketches.select("least", F.explode(F.array_distinct("keys")).alias("key"))
+    parts = F.ceil(F.col("count") / shard_rows).cast("long").alias("parts")
+    sizes = staged(dealt.groupBy("key").count().filter("count > 1").select("key", parts), "shared-keys")
+    own = F.pmod(F.xxhash64("least"), F.col("parts"))
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda j: F.struct(F.least("own", j).alias("a"), F.greatest("own", j).alias("b")))
+    rows = dealt.join(sizes, "key").withColumn("own", own).withColumn("pair", F.explode(others))
+    rows = staged(rows.select(F.xxhash64("key", "pair.a", "pair.b").alias("shard"), F.col("own").alias("part"), "least"), "shared-shards")
+    rows = rows.join(sketches.select("least", "fp"), "least")
+    return rows.repartition("shard").sortWithinPartitions("shard", "part", "least").mapInArrow(_linked_wide(radius), "u long, v long")
+
+
+def keep_one(docs: DataFrame, radius: int = WIDE_RADIUS, shard_rows: int = WIDE_ROWS) -> DataFrame:
+    """The documents that stay: of each component of similar texts the one of the smallest id, once, and all without an id."""
+    ship(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sketches = staged(rows.mapInArrow(_sketched, "doc_id long, fp binary, keys array<long>"), "sketches")
+    distinct = sketches.groupBy("fp", "keys").agg(F.min("doc_id").alias("id"))  # texts of null ids alone stand behind all others
+    least = F.coalesce("id", F.lit(NO_ID) - F.monotonically_increasing_id()).alias("least")
+    distinct = staged(distinct.select(least, "fp", "keys"), "distinct-sketches")
+    roots = components(similar_edges(distinct, radius, shard_rows)).filter("node <> root").select(F.col("node").alias("least"))
+    kept = staged(distinct.select("least").distinct().join(roots, "least", "left_anti"), "kept-ids").withColumnRenamed("least", "doc_id")
+    left = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    if sketches.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").head(1):  # else no text is shuffled for this
+        order = W.Window.partitionBy("doc_id").orderBy("text", F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+        left = left.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
+    return left.unionByName(docs.filter("doc_id IS NULL"))

@@ -133,6 +133,62 @@ def test_simhash_query_searches_trees(spark, monkeypatch):
     assert simhash.search(prints, len(prints), simhash.PARTS[0], 1, 4, simhash.Links(len(prints))) > 5
 
 
+def wide_groups(rows):
+    """Least id of each id's component of wide fingerprints within the radius, by comparing all, from a plain definition."""
+    prints = []
+    for _, text in rows:
+        w = words(text)
+        shingles = {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        counts = np.zeros(simhash.WIDE)
+        for sh in shingles:
+            z = int(simhash._mixed(np.array([xxh64(sh)], np.uint64), 1)[0])
+            counts[z & (simhash.WIDE - 1)] += 1 if z >> 63 else -1
+        prints.append(hadamard(simhash.WIDE) @ counts > 0)
+    prints = np.array(prints)
+    links = simhash.Links(len(rows))
+    for k in range(len(rows)):
+        near = np.flatnonzero((prints[k] != prints).sum(1) <= simhash.WIDE_RADIUS)
+        links.add(np.full(len(near), k), near)
+    ids = np.array([i for i, _ in rows])
+    return {i: int(ids[links.parent == r].min()) for i, r in zip(ids.tolist(), links.roots())}
+
+
+def xxh64(shingle):
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(shingle, 42)
+
+
+def hadamard(n):
+    return np.array([[1]]) if n == 1 else np.kron(np.array([[1, 1], [1, -1]]), hadamard(n // 2))
+
+
+def test_similar_texts_of_the_pipeline(spark):
+    """Copies with words changed: those of a five-word similarity of 0.85 go, those below 0.6 stay; shards may be split."""
+    rng = np.random.default_rng(13)
+    vocabulary = np.array([a + b + c for a in "bdfgkl" for b in "aeiou" for c in "mnprst"])
+    rows, near, far = [], set(), set()
+    for g in range(60):
+        base = list(rng.choice(vocabulary, 300))
+        rows.append((10 * g, " ".join(base)))
+        for k in range(1, 6):
+            t, n = list(base), [0, 1, 2, 3, 60][k - 1]
+            for at in rng.choice(300, n, replace=False):
+                t[at] = rng.choice(vocabulary)
+            rows.append((10 * g + k, " ".join(t)))
+            old, new = (set(zip(*(x[i:] for i in range(5)))) for x in (base, t))
+            j = len(old & new) / len(old | new)
+            (near if j >= 0.85 else far if j < 0.6 else set()).add(10 * g + k)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    assert not kept & near and far <= kept and {10 * g for g in range(60)} <= kept and len(near) > 200 and len(far) == 60
+    groups = wide_groups(rows)
+    assert kept == {i for i, c in groups.items() if i == c}
+    assert kept == {r["doc_id"] for r in simhash.keep_one(docs, shard_rows=2).collect()}
+    hot = [(i, " ".join(rng.choice(vocabulary, 3)) + " " + rows[0][1]) for i in range(400)]  # a shard of many near copies, with a tree
+    assert [r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(hot, "doc_id long, text string")).collect()] == [0]
+
+
 def test_components_of_hubs(spark):
     edges = [(i, 0) for i in range(1, 2000)] + [(i, i + 1) for i in range(3000, 3200)] + [(4000 + i, 6000 - i) for i in range(500)] + [(5, 5), (3100, 1)]
     frame = spark.createDataFrame(edges, "u long, v long")
@@ -146,6 +202,9 @@ def test_simhash_odd_rows(spark):
     assert len(rows) == 14 and {r["fingerprint"] for r in rows if r["doc_id"] in (0, 1, 2)} == {"0" * 16}
     kept = simhash.keep_one(odd_documents(spark))
     assert kept.columns == odd_documents(spark).columns and kept.filter("doc_id = 3").count() == 1 and kept.filter("doc_id IS NULL").count() == 1
+    assert kept.filter("doc_id IN (0, 1, 2)").count() == 1 and kept.filter("doc_id = 0").count() == 1  # wordless ones are equal
+    twice = spark.createDataFrame([(5, "one text of some words here"), (5, "an other text with more words in it"), (None, None), (None, "x")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.keep_one(twice).collect()  if r["doc_id"]) == [(5, "an other text with more words in it")] and simhash.keep_one(twice).count() == 3
     assert simhash.near_duplicates(odd_documents(spark, True)).count() == simhash.keep_one(odd_documents(spark, True)).count() == 0
 
 
@@ -663,9 +722,9 @@ def test_pipeline_against_plain_version(spark, tmp_path):
     left = sorted(r["doc_id"] for r in kept.collect())
     assert left == sorted(i for i, s in scores.items() if s < 0.5)
     single = stages["simhash_dedup"](spark, kept, SF)
-    groups = near_groups([(i, text[i]) for i in left])
+    groups = wide_groups([(i, text[i]) for i in left])
     ids = sorted(r["doc_id"] for r in single.collect())
-    assert ids == sorted(i for i, (_, c) in groups.items() if i == c)
+    assert ids == sorted(i for i, c in groups.items() if i == c)
     clean = {r["doc_id"]: r["text"] for r in stages["pii"](spark, single, SF).collect()}
     from tests.llm.test_pii import brute
 
@@ -677,4 +736,29 @@ def test_pipeline_against_plain_version(spark, tmp_path):
     for r in mixed:
         size[r["doc_id"]] += len(words(r["text"]))
     assert {i: n for i, n in taken.items() if n} == {i: n for i, n in size.items() if n}
-    assert corpus_pipeline.run(spark, SF).filter("length > 2048").count() == 0
+    pieces = corpus_pipeline.run(spark, SF).collect()
+    assert max(r["length"] for r in pieces) <= 2048
+    final = stages["mixing"](spark, stages["pii"](spark, single, SF), SF).collect()
+    want = tokenized([(k, r["text"]) for k, r in enumerate(final)], "word_bpe_49k.json", 1)
+    assert sum(r["length"] for r in pieces) == sum(map(len, want.values()))
+    whole = collections.Counter((final[k]["doc_id"], len(ids), crc(ids)) for k, ids in want.items() if len(ids) <= 2048)
+    got = collections.Counter((r["doc_id"], r["doc_tokens"], r["ids_crc32"]) for r in pieces if r["length"] == r["doc_tokens"])
+    assert not got - whole and sum(got.values()) > 20
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_of_odd_rows(spark, tmp_path, empty):
+    """Nulls, empty and long texts, ties, repeated rows, clashing names, empty tables."""
+    odd_documents(spark, empty).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([] if empty else [(i, 1, int(i == 9), "x") for i in range(12)] + [(None, None, None, None)], "doc_id long, quality int, toxic int, text string").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if empty:
+        assert not rows
+        return
+    docs = odd_documents(spark)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == odd_documents(spark).columns, name
+    left = collections.Counter(r["doc_id"] for r in docs.collect())
+    assert {r["doc_id"] for r in rows} == set(left) and left[3] and left[None]
+    assert all(r["length"] <= 2048 for r in rows)
