@@ -1,4 +1,13 @@
-"""The training-data pipeline: five stages, each over all that the one before it kept."""
+"""The training-data pipeline: five stages, each over all that the one before it kept.
+
+Toxic documents go; of documents of similar texts (five-word shingles, 0.8 or more) one stays; personal
+data is replaced by its kind; sources are mixed to their target weights; the mix is packed into sequences.
+
+Defined cases: a null text counts as empty and stays null until it is packed (an end id alone); documents
+without words count as copies of each other; rows of null ids are all kept by the first two stages; of rows of one id
+one stays; without confirmed toxic labels no document is toxic; other columns, whatever their names, are
+carried to the last stage; empty tables give an empty result.
+"""
 
 from __future__ import annotations
 
