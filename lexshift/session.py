@@ -50,12 +50,14 @@ def ship(spark: SparkSession) -> None:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir).
 
-    Only where no such folder is configured, as in tests, a temporary one is set.
+    Only where no such folder is configured and all runs on one machine, as in tests, a temporary one is set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = current.get() if current.isDefined() else None
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="lexshift-checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
