@@ -67,6 +67,8 @@ SHARD_ROWS, SHARDS, SAMPLE = 65_536, 4, 20_000
 LEAF = 64
 WIDE, WIDE_SHINGLE, WIDE_RADIUS, WIDE_ROWS, LEAST_HASHES = 1024, 5, 170, 4096, 6
 NO_ID = (1 << 63) - 1
+#: Dropped ids that are broadcast at most, 8 bytes each.
+BROADCAST_IDS = 4_000_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -428,9 +430,12 @@ def keep_one(docs: DataFrame, radius: int = WIDE_RADIUS, shard_rows: int = WIDE_
     least = F.coalesce("id", F.lit(NO_ID) - F.monotonically_increasing_id()).alias("least")
     distinct = staged(distinct.select(least, "fp", "keys"), "distinct-sketches")
     roots = components(similar_edges(distinct, radius, shard_rows)).filter("node <> root").select(F.col("node").alias("least"))
-    kept = staged(distinct.select("least").distinct().join(roots, "least", "left_anti"), "kept-ids").withColumnRenamed("least", "doc_id")
-    left = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
-    if sketches.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").head(1):  # else no text is shuffled for this
+    kept = distinct.select("least").distinct().join(roots, "least", "left_anti").withColumnRenamed("least", "doc_id")
+    gone = staged(sketches.select("doc_id").filter("doc_id IS NOT NULL").distinct().join(kept, "doc_id", "left_anti"), "dropped-ids")
+    # Ids up to a checked number are broadcast, so that no text is shuffled; beyond it the join is left to Spark.
+    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    if sketches.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").head(1):
         order = W.Window.partitionBy("doc_id").orderBy("text", F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
-        left = left.withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
-    return left.unionByName(docs.filter("doc_id IS NULL"))
+        first = left.filter("doc_id IS NOT NULL").withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").drop("_nth")
+        left = first.unionByName(left.filter("doc_id IS NULL"))
+    return left
