@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Units kept by a cache; beyond that it starts anew. About 200 bytes each.
-CACHE = 400_000
+CACHE = 600_000
 #: Bytes of text that slices() hands out at once.
 CHUNK = 3_000_000
 
@@ -44,9 +44,10 @@ STAND_IN = _byte_chars()
 class _Units:
     """Encodes texts by way of their distinct units."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
+        self.cache = cache
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
@@ -86,7 +87,7 @@ class _Units:
         get = self.codes.get
         found = np.fromiter((get(u, -2) for u in units), np.int64, len(units))
         missing = np.flatnonzero(found == -2)
-        if len(missing) and len(self.codes) + len(missing) > CACHE:
+        if len(missing) and len(self.codes) + len(missing) > self.cache:
             self._clear()
             found, missing = np.full(len(units), -2), np.arange(len(units))
         if len(missing):
@@ -210,16 +211,17 @@ def slices(batches, column: str = "text", chunk: int = CHUNK):
                 yield batch.slice(a, b - a)
 
 
-_LOADED: dict[tuple[str, str], _Units] = {}
+_LOADED: dict[tuple[str, str, int], _Units] = {}
 
 
-def encoder(tokenizer: str, kind: str) -> _Units:
+def encoder(tokenizer: str, kind: str, cache: int = CACHE) -> _Units:
     """The process's encoder for a tokenizer (a path, or the name of a public one); kind: "byte" or "word"."""
-    if (tokenizer, kind) not in _LOADED:
+    key = tokenizer, kind, cache
+    if key not in _LOADED:
         _LOADED.clear()
         path = tokenizer if os.sep in tokenizer else public(tokenizer)
-        _LOADED[tokenizer, kind] = (ByteUnits if kind == "byte" else WordUnits)(path)
-    return _LOADED[tokenizer, kind]
+        _LOADED[key] = (ByteUnits if kind == "byte" else WordUnits)(path, cache)
+    return _LOADED[key]
 
 
 def public(name: str) -> str:
