@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexshift.llm.tokens import encoder, slices
+from lexshift.llm.tokens import CACHE, encoder, slices
 from lexshift.session import ship, staged
 
 LENGTH = 2048
@@ -87,9 +87,9 @@ def document_keys(ids: np.ndarray, n: np.ndarray) -> np.ndarray:
     return hilbert_keys(cells)
 
 
-def _tokenized(tokenizer: str, kind: str, end_id: int):
+def _tokenized(tokenizer: str, kind: str, end_id: int, cache: int):
     def run(batches):
-        units = encoder(tokenizer, kind)
+        units = encoder(tokenizer, kind, cache)
         for batch in slices(batches):
             ids, n = units.encode(batch.column("text"))
             ids = np.insert(ids, np.cumsum(n), end_id)
@@ -167,11 +167,11 @@ def dealt(tokenized: DataFrame, shard_tokens: int = SHARD_TOKENS) -> tuple[DataF
     return rows.select(shard.alias("shard"), *tokenized.columns), max(1, -(-before[-1] // each))
 
 
-def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = END_ID, length: int = LENGTH, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = END_ID, length: int = LENGTH, shard_tokens: int = SHARD_TOKENS, cache: int = CACHE) -> DataFrame:
     """(doc_id, text) to pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokenized = staged(rows.mapInArrow(_tokenized(tokenizer, kind, end_id), TOKENIZED), "packing-tokens")
+    tokenized = staged(rows.mapInArrow(_tokenized(tokenizer, kind, end_id, cache), TOKENIZED), "packing-tokens")
     shards, n = dealt(tokenized, shard_tokens)
     ordered = shards.repartitionById(n, "shard").sortWithinPartitions("key", "doc_id", "doc_tokens", "ids")
     return ordered.select(*tokenized.columns).mapInArrow(_packed(length), PIECES)

@@ -41,13 +41,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexshift.llm.tokens import slices
 from lexshift.session import ship, staged
 
 POSITIVES, UNLABELLED = 6000, 12_000
 LEAST_Z, FOLDS = 4.5, 5
 STEPS, RATE, DECAYS, SLACKS = 300, 0.05, (1e-5, 1e-4, 1e-3), (0.0, 0.01, 0.03)
 STEMS = (4, 5, 6, 7, 8)
-CACHE, COUNTED = 400_000, 300_000
+CACHE, COUNTED = 100_000, 150_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -261,7 +262,7 @@ def clean(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
 def _kept(bias: float, features: list[str], weights: np.ndarray, limit: float):
     def run(batches):
         present, w = Present(features), weights.tolist()
-        for batch in batches:
+        for batch in slices(batches):  # whole rows pass through, so a few at a time
             z = np.array([bias + sum(w[i] for i in sorted(present(t.as_py()))) for t in batch.column("text")])
             yield batch.filter(pa.array(_sigmoid(z) < limit))
 
