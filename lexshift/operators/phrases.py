@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the probability of a target that no sequence of other pairs makes.
 NO_WAY = 1e-10
-LONGEST = 8
 
 
 def probabilities(table: DataFrame) -> DataFrame:
@@ -21,11 +20,11 @@ def probabilities(table: DataFrame) -> DataFrame:
     return rows.withColumn("logprob", F.ln("prob"))
 
 
-def source_matches(phrases: DataFrame, table: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """phrases(fr) to (fr, start, end, part): spans of words that are source phrases of table."""
+def source_matches(phrases: DataFrame, table: DataFrame) -> DataFrame:
+    """phrases(fr) to (fr, start, end, part): all spans of words that are source phrases of table."""
     words = F.split("fr", " ")
     spans = phrases.select("fr", words.alias("w")).select("fr", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("start"))
-    spans = spans.select("fr", "w", "start", F.explode(F.sequence(F.lit(1), F.least(F.size("w") - F.col("start") + 1, F.lit(longest)))).alias("n"))
+    spans = spans.select("fr", "w", "start", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("start") + 1)).alias("n"))
     spans = spans.select("fr", (F.col("start") - 1).alias("start"), (F.col("start") + F.col("n") - 2).alias("end"), F.array_join(F.slice("w", F.col("start"), F.col("n")), " ").alias("part"))
     return spans.join(table.select(F.col("fr").alias("part")).distinct(), "part", "left_semi").select("fr", "start", "end", "part")
 
@@ -37,10 +36,10 @@ def places(words, part):
     return F.filter(every, lambda i: F.slice(words, i + 1, F.size(part)) == part)
 
 
-def arcs(probs: DataFrame, longest: int = LONGEST) -> DataFrame:
+def arcs(probs: DataFrame) -> DataFrame:
     """For each pair (fr, en): arcs (start, end, logprob) of other pairs whose source stands in fr and whose target in en,
     the best for each place. The arc over all of en is left out."""
-    parts = source_matches(probs.select("fr").distinct(), probs, longest).select("fr", "part").distinct()
+    parts = source_matches(probs.select("fr").distinct(), probs).select("fr", "part").distinct()
     inner = probs.select(F.col("fr").alias("part"), F.split("en", " ").alias("t"), F.col("logprob").alias("lp"))
     pairs = probs.select("fr", "en").join(parts, "fr").join(inner, "part").withColumn("w", F.split("en", " "))
     found = pairs.select("fr", "en", F.size("w").alias("n"), F.size("t").alias("k"), "lp", F.explode(places(F.col("w"), F.col("t"))).alias("start"))
@@ -48,11 +47,11 @@ def arcs(probs: DataFrame, longest: int = LONGEST) -> DataFrame:
     return found.groupBy("fr", "en", "n", "start", "end").agg(F.max("lp").alias("lp"))
 
 
-def decoded(probs: DataFrame, longest: int = LONGEST) -> DataFrame:
+def decoded(probs: DataFrame) -> DataFrame:
     """fr, en, new_logprob: the best sequence of arcs from 0 to the end of en, null if there is none.
 
     Arcs in order of their ends update an array of the best sums, so each is final when it is read."""
-    lists = arcs(probs, longest).groupBy("fr", "en", "n").agg(F.array_sort(F.collect_list(F.struct("end", "start", "lp"))).alias("arcs"))
+    lists = arcs(probs).groupBy("fr", "en", "n").agg(F.array_sort(F.collect_list(F.struct("end", "start", "lp"))).alias("arcs"))
     low = F.lit(float("-inf"))
     first = F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: F.when(i == 0, 0.0).otherwise(low))
 
@@ -64,9 +63,9 @@ def decoded(probs: DataFrame, longest: int = LONGEST) -> DataFrame:
     return lists.select("fr", "en", F.when(total > low, total).alias("new_logprob"))
 
 
-def relative_entropy(table: DataFrame, longest: int = LONGEST) -> DataFrame:
+def relative_entropy(table: DataFrame) -> DataFrame:
     """fr, en, joint, logprob, new_logprob, entropy = joint (logprob - new_logprob). No row is dropped."""
     probs = probabilities(table)
-    rows = probs.join(decoded(probs, longest), ["fr", "en"], "left")
+    rows = probs.join(decoded(probs), ["fr", "en"], "left")
     rows = rows.withColumn("new_logprob", F.coalesce("new_logprob", F.ln(F.lit(NO_WAY))))
     return rows.select("fr", "en", "joint", "logprob", "new_logprob", (F.col("joint") * (F.col("logprob") - F.col("new_logprob"))).alias("entropy"))

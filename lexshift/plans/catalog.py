@@ -11,8 +11,8 @@ from lexshift.functions.scalar import truncated
 from lexshift.operators import bitext, buckets, copula, features, flow, folds, joint, labels, learn, metrics, phrases, retrieval, topics
 from lexshift.plans import experiment, tables
 from lexshift.plans.tables import sql
-from lexshift.session import staged, table
-from lexshift.sources import writers
+from lexshift.session import scratch, staged, table
+from lexshift.sources import readers, writers
 from lexshift.streaming.pages import type_statistics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -248,9 +248,8 @@ def vw_example_lines(spark, sf_dir):
 
 
 @query(sql("C", """, w AS (SELECT domain, word, count(*) AS n FROM (SELECT domain, unnest(tokens) AS word FROM C) GROUP BY ALL),
-p AS (SELECT domain, word, log10(n / CAST(sum(n) OVER (PARTITION BY domain) AS DOUBLE)) AS lp, n FROM w)
-SELECT t.word AS fr, round(coalesce(o.lp, -20), 9) AS lp_old, round(t.lp, 9) AS lp_new, round(t.lp - coalesce(o.lp, -20), 9) AS lp_diff
-FROM p t LEFT JOIN p o ON o.word = t.word AND o.domain = 'old' WHERE t.domain = 'new' AND t.n >= 3"""))
+a AS (SELECT word, log10(n / CAST(sum(n) OVER () AS DOUBLE)) AS lp FROM w WHERE domain = 'old'), b AS (SELECT word, n, log10(n / CAST(sum(n) OVER () AS DOUBLE)) AS lp FROM w WHERE domain = 'new')
+SELECT b.word AS fr, round(coalesce(a.lp, -20), 9) AS lp_old, round(b.lp, 9) AS lp_new, round(b.lp - coalesce(a.lp, -20), 9) AS lp_diff FROM b LEFT JOIN a ON a.word = b.word WHERE b.n >= 3"""))
 def rel_freq_log10(spark, sf_dir):
     docs = tables.corpus(spark, sf_dir)
     counts = {d: bitext.word_counts(docs.filter(F.col("domain") == d)) for d in ("old", "new")}
@@ -426,7 +425,7 @@ def corpus_stats(spark, sf_dir):
     return bitext.corpus_stats(_domain_counts(spark, sf_dir, "old"))
 
 
-@query(sql("C", f", {_WORDS} SELECT word, n FROM b WHERE word NOT IN (SELECT word FROM a)"))
+@query(sql("C", f", {_WORDS} SELECT b.word, b.n FROM b LEFT JOIN a ON a.word = b.word WHERE a.word IS NULL"))
 def oov_words(spark, sf_dir):
     return bitext.oov(_domain_counts(spark, sf_dir, "new"), _domain_counts(spark, sf_dir, "old"))
 
@@ -546,6 +545,65 @@ def vine_pairs(spark, sf_dir):
     return copula.vine_pairs(table(spark, sf_dir, "embeddings"), "embedding", "vec_id")
 
 
+# Files: written in a format, read back --------------------------------------------------------------
+
+
+def _written(spark, rows: DataFrame, name: str) -> str:
+    path = scratch(spark, name)
+    writers.write_lines(rows, path)
+    return path
+
+
+@query(sql("S", "SELECT fr, en, round(p, 9) AS p FROM S"))
+def seen_file(spark, sf_dir):
+    rows = readers.seen(spark, _written(spark, writers.seen_lines(_seen(spark, sf_dir)), "seen"))
+    return _rounded(rows.select("fr", "en", F.col("p").cast("double").alias("p")))
+
+
+@query(sql("T", "SELECT fr AS f, en AS e, round(n / sum(n) OVER (PARTITION BY fr), 9) AS p FROM (SELECT fr, en, count(*) AS n FROM T GROUP BY ALL)"))
+def dictionary_file(spark, sf_dir):
+    counts = tables.tokens(spark, sf_dir).groupBy("fr", "en").agg(F.count("*").alias("n"))
+    lines = counts.select(F.concat_ws(" ", F.col("n").cast("string"), "fr", "en").alias("line")).union(spark.createDataFrame([("too few",), ("",), ("x a b",)], "line string"))
+    return _rounded(readers.dictionary(spark, _written(spark, lines, "dictionary")))
+
+
+@query(sql("T", "SELECT fr, en, CAST(n AS DOUBLE) AS joint, CAST(n * 2 AS DOUBLE) AS p_ef, CAST(n * 3 AS DOUBLE) AS p_fe FROM (SELECT fr, en, count(*) AS n FROM T GROUP BY ALL) WHERE fr IN (SELECT 'p' || p_partkey FROM part WHERE p_size > 25)"))
+def joint_table_file(spark, sf_dir):
+    counts = tables.tokens(spark, sf_dir).groupBy("fr", "en").agg(F.count("*").alias("n"))
+    path = _written(spark, counts.select(F.concat_ws(" ", *[(F.col("n") * k).cast("string") for k in (1, 2, 3)], "fr", "en").alias("line")), "joint")
+    wanted = table(spark, sf_dir, "part").filter("p_size > 25").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("fr"))
+    return readers.joint_table(spark, path, wanted).select("fr", "en", "joint", "p_ef", "p_fe")
+
+
+@query("SELECT 'e' || event_id AS word, value AS diff FROM events WHERE value IS NOT NULL")
+def flow_file(spark, sf_dir):
+    events = table(spark, sf_dir, "events").filter("value IS NOT NULL")
+    lines = events.select(F.concat(F.lit("e"), F.col("event_id").cast("string"), F.lit(" "), F.col("value").cast("string")).alias("line"))
+    return readers.flow_output(spark, _written(spark, spark.createDataFrame([("# word diff",)], "line string").union(lines), "flow")).select("word", "diff")
+
+
+@query("SELECT event_type AS grp, count(*) AS n, round(sum(value), 4) AS total, count(*) FILTER (user_id % 2 = 1) AS pos FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def predictions_file(spark, sf_dir):
+    events = table(spark, sf_dir, "events").filter("value IS NOT NULL")
+    lines = events.select(F.concat_ws(" ", F.col("value").cast("string"), (F.col("user_id") % 2).cast("string"), "event_type").alias("line"))
+    rows = readers.predictions(spark, _written(spark, lines, "predictions"))
+    return rows.groupBy("grp").agg(F.count("*").alias("n"), F.round(F.sum("score"), 4).alias("total"), F.count_if(F.col("label") > 0).alias("pos"))
+
+
+@query("SELECT event_type AS word, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 9) AS p FROM events GROUP BY event_type")
+def page_shares_file(spark, sf_dir):
+    counts = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    lines = counts.select(F.concat_ws(" ", F.col("n").cast("string"), "event_type").alias("line")).coalesce(1)  # one page, one file
+    return _rounded(readers.page_shares(spark, _written(spark, lines, "page")).select("word", "p"))
+
+
+@query(sql("T", """SELECT f, e, old, new FROM (SELECT fr AS f, en AS e, count(*) FILTER (domain = 'old') AS old, count(*) FILTER (domain = 'new') AS new, row_number() OVER (ORDER BY fr, en) AS k FROM T GROUP BY fr, en) WHERE k <= 300"""))
+def pair_counts_file(spark, sf_dir):
+    pairs = tables.tokens(spark, sf_dir).groupBy("fr", "en").agg(F.count_if(F.col("domain") == "old").alias("old"), F.count_if(F.col("domain") == "new").alias("new"))
+    lines = pairs.orderBy("fr", "en").select(F.concat(F.concat_ws("__", "fr", "en"), F.lit(" "), F.col("old").cast("string"), F.lit(" "), F.col("new").cast("string")).alias("line"))
+    return readers.pair_counts(spark, _written(spark, lines, "pairs")).select("f", "e", "old", "new")
+
+
 # Experiments -----------------------------------------------------------------------------------------
 
 

@@ -191,3 +191,21 @@ def test_cap_and_spans(spark):
     assert sorted(r["line_no"] for r in features.capped(tokens, 2).collect()) == [0, 1]
     spans = spark.createDataFrame([(1, 0, 1, "x y"), (1, 1, 1, "z")], "snt_id long, fr_start int, fr_end int, fr string")
     assert features.span_errors(spans, spark.createDataFrame([(1, ["x", "y"])], "snt_id long, tokens array<string>")).count() == 1
+
+
+def test_phrases_of_any_length(spark):
+    from lexshift.operators import phrases
+
+    long = " ".join(f"w{i}" for i in range(20))
+    table = spark.createDataFrame([(long,), (" ".join(f"w{i}" for i in range(3, 18)),), ("w4",)], "fr string")
+    got = {(r["start"], r["end"]) for r in phrases.source_matches(table.filter(table.fr == long), table).collect()}
+    assert got == {(0, 19), (3, 17), (4, 4)}
+
+
+def test_features_are_never_dropped(spark):
+    from lexshift.operators.learn import Space
+
+    rows = spark.range(30).selectExpr("concat('f', id) AS name")
+    assert len(Space.of(rows, most=30).names) == 30
+    with pytest.raises(ValueError):
+        Space.of(rows, most=29)
