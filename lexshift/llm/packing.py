@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexshift.llm.tokens import CACHE, encoder, slices
-from lexshift.session import ship, staged
+from lexshift.session import ship, small_batches, staged
 
 LENGTH = 2048
 END_ID = 1
@@ -171,7 +171,8 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = END_
     """(doc_id, text) to pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokenized = staged(rows.mapInArrow(_tokenized(tokenizer, kind, end_id, cache), TOKENIZED), "packing-tokens")
+    with small_batches(docs.sparkSession):
+        tokenized = staged(rows.mapInArrow(_tokenized(tokenizer, kind, end_id, cache), TOKENIZED), "packing-tokens")
     shards, n = dealt(tokenized, shard_tokens)
     ordered = shards.repartitionById(n, "shard").sortWithinPartitions("key", "doc_id", "doc_tokens", "ids")
     return ordered.select(*tokenized.columns).mapInArrow(_packed(length), PIECES)

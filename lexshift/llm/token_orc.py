@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from lexshift.llm.tokens import encoder, slices
-from lexshift.session import scratch, ship
+from lexshift.session import scratch, ship, small_batches
 
 SCHEMA = "doc_id long, shard int, at long, n_tokens long, ids array<int>"
 END_ID = 2
@@ -69,7 +69,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte",
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(_encoded(tokenizer, kind, end_id), SCHEMA).write.mode(mode).options(**OPTIONS).orc(path)
+    with small_batches(docs.sparkSession):
+        rows.mapInArrow(_encoded(tokenizer, kind, end_id), SCHEMA).write.mode(mode).options(**OPTIONS).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Units kept by a cache; beyond that it starts anew. About 200 bytes each.
-CACHE = 600_000
+CACHE = 450_000
 #: Bytes of text that slices() hands out at once.
 CHUNK = 3_000_000
 
