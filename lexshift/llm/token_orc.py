@@ -30,6 +30,8 @@ from lexshift.session import scratch, ship, small_batches
 
 SCHEMA = "doc_id long, shard int, at long, n_tokens long, ids array<int>"
 END_ID = 2
+#: Units that a task keeps, and bytes of text that it encodes at once.
+CACHE, CHUNK = 600_000, 8_000_000
 OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
@@ -42,8 +44,8 @@ OPTIONS = {
 
 def _encoded(tokenizer: str, kind: str, end_id: int):
     def run(batches):
-        units, shard, at = encoder(tokenizer, kind), TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
+        units, shard, at = encoder(tokenizer, kind, CACHE), TaskContext.get().partitionId(), 0
+        for batch in slices(batches, chunk=CHUNK):
             ids, n = units.encode(batch.column("text"))
             ids = np.insert(ids, np.cumsum(n), end_id)
             n = n + 1
