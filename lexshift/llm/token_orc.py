@@ -31,7 +31,7 @@ from lexshift.session import scratch, ship, small_batches
 SCHEMA = "doc_id long, shard int, at long, n_tokens long, ids array<int>"
 END_ID = 2
 #: Units that a task keeps, and bytes of text that it encodes at once.
-CACHE, CHUNK = 600_000, 8_000_000
+CACHE, CHUNK = 600_000, 4_000_000
 OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
