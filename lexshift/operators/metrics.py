@@ -87,22 +87,33 @@ def _prf(y: Column, p: Column, hit: Column) -> tuple[Column, Column, Column]:
     return precision, recall, F.when(precision + recall > 0, 2 * precision * recall / (precision + recall)).otherwise(0.0)
 
 
-def prf_by_type(rows: DataFrame, score: str = "score", label: str = "label", grp: str = "grp", threshold: float = PRF_THRESHOLD) -> DataFrame:
-    """grp, y, p, hit, precision, recall, f: for groups with a positive label or prediction."""
+def prf_by_type(rows: DataFrame, score: str = "score", label: str = "label", grp: str = "grp", threshold: float = PRF_THRESHOLD, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """by, grp, y, p, hit, precision, recall, f: for groups with a positive label or prediction."""
     pos, said = F.col(label) > 0, F.col(score) > threshold
-    counts = rows.groupBy(grp).agg(F.count_if(pos).alias("y"), F.count_if(said).alias("p"), F.count_if(pos & said).alias("hit")).filter("y > 0 OR p > 0")
+    count = lambda c: F.sum(F.when(c, F.col(weight) if weight else F.lit(1)).otherwise(0)).cast("long")
+    counts = rows.groupBy(*(by or []), grp).agg(count(pos).alias("y"), count(said).alias("p"), count(pos & said).alias("hit")).filter("y > 0 OR p > 0")
     precision, recall, f = _prf(F.col("y"), F.col("p"), F.col("hit"))
     return counts.withColumns({"precision": precision, "recall": recall, "f": f})
 
 
-def prf(rows: DataFrame, score: str = "score", label: str = "label", grp: str = "grp", threshold: float = PRF_THRESHOLD) -> DataFrame:
-    """One row: precision, recall and F of pooled counts, and their means over groups.
+def prf(rows: DataFrame, score: str = "score", label: str = "label", grp: str = "grp", threshold: float = PRF_THRESHOLD, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """One row (for each `by`): precision, recall and F of pooled counts, and their means over groups.
 
     In the convention of the published numbers the pooled ones are called macro and the means micro."""
-    types = prf_by_type(rows, score, label, grp, threshold)
-    sums = types.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("y", "p", "hit")], *[F.avg(c).alias(f"mean_{c}") for c in ("f", "precision", "recall")])
+    types = prf_by_type(rows, score, label, grp, threshold, by, weight)
+    sums = types.groupBy(*(by or [])).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("y", "p", "hit")], *[F.avg(c).alias(f"mean_{c}") for c in ("f", "precision", "recall")])
     precision, recall, f = _prf(F.col("y"), F.col("p"), F.col("hit"))
-    return sums.select(f.alias("pooled_f"), precision.alias("pooled_precision"), recall.alias("pooled_recall"), "mean_f", "mean_precision", "mean_recall")
+    return sums.select(*(by or []), f.alias("pooled_f"), precision.alias("pooled_precision"), recall.alias("pooled_recall"), "mean_f", "mean_precision", "mean_recall")
+
+
+#: What is reported of each fold or replicate.
+FIELDS = ("auroc", "pooled_f", "pooled_precision", "pooled_recall", "mean_f", "mean_precision", "mean_recall")
+
+
+def fields_by(rows: DataFrame, by: list[str], score: str = "score", label: str = "label", grp: str = "grp", weight: str | None = None) -> DataFrame:
+    """by and all FIELDS of each fold or replicate."""
+    areas = auroc(rows, score, label, by, weight).select(*by, "auroc")
+    return areas.join(prf(rows, score, label, grp, by=by, weight=weight), by, "outer").select(*by, *FIELDS)
 
 
 def conventional(prf_row: DataFrame) -> DataFrame:
@@ -129,6 +140,11 @@ def bootstrap_auroc(rows: DataFrame, key: str, score: str = "score", label: str
     return auroc(draw_weights(rows, key, replicates, seed), score, label, ["replicate"], "weight")
 
 
+def bootstrap_fields(rows: DataFrame, key: str, score: str = "score", label: str = "label", grp: str = "grp", replicates: int = 20, seed: int = 7) -> DataFrame:
+    """Mean and deviation of all FIELDS over the replicates."""
+    return mean_std(fields_by(draw_weights(rows, key, replicates, seed), ["replicate"], score, label, grp, "weight"), list(FIELDS))
+
+
 def mean_std(rows: DataFrame, values: list[str], by: list[str] | None = None) -> DataFrame:
     """Mean and population standard deviation of each value."""
     return rows.groupBy(*(by or [])).agg(*[f(v).alias(f"{v}_{n}") for v in values for n, f in (("mean", F.avg), ("std", F.stddev_pop))])

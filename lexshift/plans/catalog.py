@@ -115,6 +115,34 @@ def fold_mean_std(spark, sf_dir):
     return _rounded(metrics.mean_std(metrics.auroc(tables.predictions(spark, sf_dir), by=["source"]), ["auroc"]))
 
 
+def _fields_sql(source: str, by: str, w: str = "1") -> str:
+    n = lambda c: f"sum(CASE WHEN {c} THEN {w} ELSE 0 END)"
+    rate = "CASE WHEN p <= 0 THEN 1.0 ELSE CAST(hit AS DOUBLE) / p END AS pre, CASE WHEN y <= 0 THEN 1.0 ELSE CAST(hit AS DOUBLE) / y END AS rec"
+    f = "CASE WHEN pre + rec > 0 THEN 2 * pre * rec / (pre + rec) ELSE 0.0 END"
+    cells = ", ".join(f"round(avg({x}), 6) AS {x}_mean, round(stddev_pop({x}), 6) AS {x}_std" for x in metrics.FIELDS)
+    return f"""{_auroc_sql(source, by, w)},
+c AS (SELECT {by}, grp, {n('label > 0')} AS y, {n('score > 0.0001')} AS p, {n('label > 0 AND score > 0.0001')} AS hit FROM {source} GROUP BY {by}, grp),
+r AS (SELECT *, {rate} FROM c WHERE y > 0 OR p > 0), t AS (SELECT {by}, sum(y) AS y, sum(p) AS p, sum(hit) AS hit, avg({f}) AS mean_f, avg(pre) AS mean_precision, avg(rec) AS mean_recall FROM r GROUP BY {by}),
+u AS (SELECT *, {rate} FROM t),
+x AS (SELECT CAST(numerator AS DOUBLE) / nullif(2 * n_pos * n_neg, 0) AS auroc, {f} AS pooled_f, pre AS pooled_precision, rec AS pooled_recall, mean_f, mean_precision, mean_recall FROM area FULL JOIN u USING ({by}))
+SELECT {cells} FROM x"""
+
+
+def _signed_by(spark, sf_dir):
+    rows = tables.predictions(spark, sf_dir)
+    return rows.select("doc_id", "lang", (F.col("score") - 2000).alias("score"), "label", F.col("source").alias("grp"))
+
+
+@query(sql("P", ", GL AS (SELECT doc_id, lang, score - 2000 AS score, label, source AS grp FROM P), " + _fields_sql("GL", "lang")))
+def fold_fields_mean_std(spark, sf_dir):
+    return _rounded(metrics.mean_std(metrics.fields_by(_signed_by(spark, sf_dir), ["lang"]), list(metrics.FIELDS)), 6)
+
+
+@query(sql("P", _DRAWS.replace("score, label", "score - 2000 AS score, label, source AS grp", 1).replace("score, label, replicate", "score, label, grp, replicate") + _fields_sql("dw", "replicate", "w")))
+def bootstrap_fields(spark, sf_dir):
+    return _rounded(metrics.bootstrap_fields(_signed_by(spark, sf_dir), "doc_id"), 6)
+
+
 @query(sql("G", """, s AS (SELECT (score / 2000) AS s, label > 0.5 AS y FROM G)
 SELECT round(avg(CASE WHEN y = (s > 0) THEN 0.0 ELSE 1.0 END), 9) AS error,
  round(1 - coalesce(2.0 * count(*) FILTER (y AND s > 0) / nullif(count(*) FILTER (y) + count(*) FILTER (s > 0), 0), 0), 9) AS f_loss,
@@ -542,7 +570,7 @@ def lsa_ecdf(spark, sf_dir):
 
 @query()
 def vine_pairs(spark, sf_dir):
-    return copula.vine_pairs(table(spark, sf_dir, "embeddings"), "embedding", "vec_id")
+    return copula.vine_pairs(table(spark, sf_dir, "embeddings"), "embedding")
 
 
 # Files: written in a format, read back --------------------------------------------------------------

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexshift.functions import scalar
+from lexshift.functions.running import descending_totals
 from lexshift.operators import bitext, buckets, copula, features, flow, folds, joint, labels, learn, metrics, phrases, topics
 from lexshift.plans.experiment import Experiment, power_set
 from lexshift.sources import readers, writers
@@ -181,9 +182,30 @@ def test_dt_newsense_searches_the_whole_grid(spark, monkeypatch):
 def test_copula(spark):
     rows = spark.createDataFrame([(0, float(v)) for v in (1, 2, 2, 3)], "dim int, value double")
     assert sorted(r["cdf"] for r in copula.ecdf(rows).collect()) == [0.25, 0.75, 0.75, 1.0]
-    x = np.arange(50.0)
-    frame = spark.createDataFrame(pd.DataFrame({"k": range(50), "v": [[float(a), float(a) + 1] for a in x]}))
-    assert copula.vine_pairs(frame, "v", "k", dims=2).first()["tau"] == 1.0
+
+
+def test_vine_counts_all_rows_and_columns(spark, monkeypatch):
+    """Against all pairs of rows, with ties, a value that most rows share and groups of few rows."""
+    monkeypatch.setattr(copula, "GROUP_ROWS", 5)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 4))
+    x[:, 1] = np.where(rng.random(600) < 0.4, 7.0, np.round(x[:, 0] + x[:, 1], 1))
+    x[:, 3] -= x[:, 2]
+    x[0, 2] = 1e12
+    odd = [None, [1.0], [None] * 4, [float("nan")] * 4]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate([*x.tolist(), *odd])], "k long, v array<double>")
+    got = {r["left"]: r["tau"] for r in copula.vine_pairs(frame, "v").collect()}
+    signs = [np.sign(c[:, None] - c[None, :]) for c in x.T]
+    assert got == pytest.approx({i: (signs[i] * signs[i + 1]).sum() / (600 * 599) for i in range(3)}, abs=1e-12)
+    assert copula.vine_pairs(frame.limit(0), "v").count() == 0
+
+
+def test_running_totals_with_an_outlier(spark):
+    rows = spark.createDataFrame([(float(v),) for v in (*range(500), 1e300)], "score double").selectExpr("0 AS k", "score", "1 AS n")
+    out = descending_totals(rows, ["k"], "score", ["n"]).collect()
+    assert all(r["n_before"] == (0 if r["score"] == 1e300 else 500 - r["score"]) for r in out)
+    sizes = pd.Series([r["_bucket"] for r in out]).value_counts()
+    assert len(sizes) > 50 and sizes.max() < 20
 
 
 def test_cap_and_spans(spark):
