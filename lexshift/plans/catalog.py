@@ -13,7 +13,7 @@ from lexshift.plans import experiment, tables
 from lexshift.plans.tables import sql
 from lexshift.session import scratch, staged, table
 from lexshift.sources import readers, writers
-from lexshift.streaming.pages import type_statistics
+from lexshift.streaming.pages import keep, type_statistics
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -621,7 +621,7 @@ def predictions_file(spark, sf_dir):
 @query("SELECT event_type AS word, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 9) AS p FROM events GROUP BY event_type")
 def page_shares_file(spark, sf_dir):
     counts = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
-    lines = counts.select(F.concat_ws(" ", F.col("n").cast("string"), "event_type").alias("line")).coalesce(1)  # one page, one file
+    lines = counts.select(F.concat_ws(" ", F.col("n").cast("string"), "event_type").alias("line"))
     return _rounded(readers.page_shares(spark, _written(spark, lines, "page")).select("word", "p"))
 
 
@@ -632,6 +632,146 @@ def pair_counts_file(spark, sf_dir):
     return readers.pair_counts(spark, _written(spark, lines, "pairs")).select("f", "e", "old", "new")
 
 
+def _line(*columns, sep: str = "\t"):
+    return F.concat_ws(sep, *[(c if not isinstance(c, str) else F.col(c)).cast("string") for c in columns]).alias("line")
+
+
+@query("SELECT l_orderkey AS snt_id, l_linenumber AS fr_start, l_linenumber + 1 AS fr_end, 0 AS en_start, 1 AS en_end, 'p ' || l_partkey AS fr, 's ' || l_suppkey AS en, count(*) AS n FROM lineitem GROUP BY ALL")
+def token_file(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem")
+    rows = items.select(_line("l_orderkey", "l_linenumber", F.col("l_linenumber") + 1, F.lit(0), F.lit(1), F.concat(F.lit("p "), F.col("l_partkey")), F.concat(F.lit("s "), F.col("l_suppkey"))))
+    return readers.tokens(spark, _written(spark, rows, "tokens")).groupBy("snt_id", "fr_start", "fr_end", "en_start", "en_end", "fr", "en").agg(F.count("*").alias("n")).withColumn("snt_id", F.col("snt_id").cast("long"))
+
+
+@query("SELECT DISTINCT 'u ' || user_id AS fr FROM events")
+def type_list_file(spark, sf_dir):
+    path = scratch(spark, "types")
+    writers.write_lines(table(spark, sf_dir, "events").select(F.concat(F.lit("u "), F.col("user_id").cast("string")).alias("line")), path, gzip=True)
+    return readers.types(spark, path)
+
+
+@query("SELECT 'new' AS domain, 'part' AS source, 'p' || p_partkey AS fr, 'size' AS name, CAST(p_size AS DOUBLE) AS value FROM part WHERE p_size <> 0 UNION ALL SELECT 'new', 'part', 'p' || p_partkey, 'price', p_retailprice FROM part WHERE p_retailprice <> 0")
+def type_feature_file(spark, sf_dir):
+    rows = _type_rows(spark, sf_dir).withColumn("text", F.col("value").cast("string"))
+    path = _written(spark, writers.type_feature_lines(rows), "new-old.type.part")
+    return readers.type_features(spark, path).select("domain", "source", "fr", "name", "value")
+
+
+@query("SELECT 'new' AS domain, 'events' AS source, event_id + 1 AS line_no, event_type AS name, CAST(user_id AS DOUBLE) AS value FROM events WHERE user_id % 3 <> 0")
+def token_feature_file(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("line_no", F.col("event_id") + 1)  # ids are 0, 1, ...
+    some = events.filter("user_id % 3 <> 0").select("line_no", F.col("event_type").alias("name"), F.col("user_id").cast("string").alias("text"), F.col("user_id").cast("double").alias("value"))
+    path = _written(spark, writers.token_feature_lines(events, some), "new.token.events")
+    return readers.token_features(spark, path).select("domain", "source", "line_no", "name", "value")
+
+
+def _phrase_file(spark, sf_dir):
+    show = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+    rows = tables.phrases(spark, sf_dir).select(F.concat_ws(" ||| ", "fr", "en", show(F.col("scores")), F.lit("0-0"), show(F.col("counts"))).alias("line"))
+    return readers.phrase_table(spark, _written(spark, rows, "phrase-table"))
+
+
+@query(sql("H", "SELECT fr, en, round(n / ne, 9) AS p_fe, round(n / nf, 9) AS p_ef, '0-0' AS align, nf AS n_fr, ne AS n_en FROM H"))
+def phrase_table_file(spark, sf_dir):
+    rows = _phrase_file(spark, sf_dir)
+    return rows.select("fr", "en", F.round(F.col("scores")[0], 9).alias("p_fe"), F.round(F.col("scores")[2], 9).alias("p_ef"), "align", F.col("counts")[0].alias("n_fr"), F.col("counts")[1].alias("n_en"))
+
+
+@query(sql("H", "SELECT fr, en, round(n / nf, 9) AS p FROM H WHERE fr IN (SELECT lower(p_type) FROM part WHERE p_size > 25)"))
+def seen_from_phrase_table(spark, sf_dir):
+    wanted = table(spark, sf_dir, "part").filter("p_size > 25").select(F.lower("p_type").alias("fr"))
+    return _rounded(labels.seen_from_phrases(_phrase_file(spark, sf_dir), wanted))
+
+
+@query("SELECT 'p' || p_partkey AS word, -p_size / 8.0::DOUBLE AS logprob FROM part")
+def unigram_file(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    entry = part.select(F.concat_ws("\t", (F.col("p_size") / -8.0).cast("string"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")), F.when(F.col("p_size") % 2 == 0, "-0.5")).alias("line"))
+    others = spark.createDataFrame([("\\data\\",), ("ngram 1=9",), ("",), ("\\1-grams:",), ("-1 of two words",), ("\\end\\",)], "line string")
+    return readers.unigrams(spark, _written(spark, others.union(entry), "model"))
+
+
+@query("""WITH s AS (SELECT event_id + 1 AS line_no, i, CASE i WHEN 0 THEN 'e' || event_id ELSE event_type END AS fr, (event_id % 7 + i) / 10.0::DOUBLE AS p FROM events, (SELECT unnest(range(2)) AS i))
+SELECT line_no, CAST(i AS INT) AS i, fr, round(ln(greatest(p, 1e-6)), 9) AS gb, round(ln(greatest(p / 2, 1e-6)), 9) AS gs, round(ln(greatest(p / 4, 1e-6)), 9) AS db, round(ln(greatest(p / 8, 1e-6)), 9) AS ds FROM s""")
+def lm_score_files(spark, sf_dir):
+    events = table(spark, sf_dir, "events").orderBy("event_id")  # ids are 0, 1, ...
+    p = lambda i, by: ((F.col("event_id") % 7 + i) / 10.0 / by).cast("string")
+    scores = [_written(spark, events.select(F.concat_ws(" ", F.lit("9.5 0 0"), p(0, by), p(1, by)).alias("line")), "scores") for by in (1.0, 2.0, 4.0, 8.0)]
+    words = _written(spark, events.select(F.concat(F.lit("e"), F.col("event_id").cast("string"), F.lit(" "), F.col("event_type")).alias("line")), "sentences")
+    return _rounded(readers.sentence_scores(spark, words, *scores))
+
+
+@query("SELECT event_id + 1 AS snt_id, 'e' || event_id || ' ' || event_type AS sentence, -(event_id % 9 + 1) / 2.0::DOUBLE AS first, -6.0::DOUBLE AS second, CAST(2 AS INT) AS n FROM events")
+def lm_debug_file(spark, sf_dir):
+    event, blank = F.concat(F.lit("e"), F.col("event_id").cast("string")), F.lit("")
+    mark = F.concat(F.lit("\tp( "), event, F.lit(" | <s> ) \t= [1gram] 0.5 [ "), ((F.col("event_id") % 9 + 1) / -2.0).cast("string"), F.lit(" ]"))
+    block = F.array(F.concat_ws(" ", event, "event_type"), mark, F.lit("\tp( x | y ) \t= [OOV] 0 [ -inf ]"), F.lit("1 sentences, 2 words, 1 OOVs"), F.lit("0 zeroprobs, logprob= -9.5 ppl= 8"), blank)
+    path = _written(spark, table(spark, sf_dir, "events").orderBy("event_id").select(F.explode(block).alias("line")), "debug")
+    rows = readers.debug_scores(spark, path)
+    return rows.select("snt_id", "sentence", F.col("probs")[0].alias("first"), F.col("probs")[1].alias("second"), F.size("probs").alias("n"))
+
+
+_PLACED = "X AS (SELECT row_number() OVER (ORDER BY sent) AS sent, src, tgt, list_transform(range(CAST(k AS BIGINT)), lambda i: i || '-' || i) AS a FROM B)"
+
+
+def _shown(rows):
+    return rows.select("sent", F.array_join("src", " ").alias("src"), F.array_join("tgt", " ").alias("tgt"), bitext.show_align(F.col("align")).alias("align"))
+
+
+@query(sql("B", f", {_PLACED} SELECT sent, array_to_string(src, ' ') AS src, array_to_string(tgt, ' ') AS tgt, array_to_string(a, ' ') AS align FROM X"))
+def bitext_files(spark, sf_dir):
+    paths = [_written(spark, r, n) for r, n in zip(writers.bitext_lines(staged(tables.bitext(spark, sf_dir), "bitext")), ("src", "tgt", "align"))]
+    return _shown(readers.bitext(spark, *paths))
+
+
+@query(sql("B", f", {_PLACED} SELECT sent, array_to_string(src, ' ') AS src, array_to_string(tgt, ' ') AS tgt, array_to_string(a, ' ') AS align FROM X"))
+def giza_file(spark, sf_dir):
+    group = F.transform("src", lambda w, i: F.concat(w, F.when(i < F.size("tgt"), F.concat(F.lit(" ({ "), (i + 1).cast("string"), F.lit(" })"))).otherwise(" ({ })")))
+    rows = tables.bitext(spark, sf_dir).orderBy("sent")
+    record = F.array(F.lit("# Sentence pair"), F.array_join("tgt", " "), F.concat_ws(" ", F.lit("NULL ({ })"), F.array_join(group, " ")))
+    return _shown(readers.giza(spark, _written(spark, rows.select(F.explode(record).alias("line")), "giza")))
+
+
+@query("SELECT event_type || '_' || user_id AS word, CAST(2 * count(*) AS BIGINT) AS n FROM events GROUP BY ALL HAVING 2 * count(*) >= 20")
+def page_count_file(spark, sf_dir):
+    counts = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n")).select(F.concat_ws(" ", F.col("n").cast("string"), F.concat_ws("_", "event_type", F.col("user_id").cast("string"))).alias("line"))
+    return readers.page_counts(spark, _written(spark, counts.union(counts), "counts"), 20).select("word", "n")
+
+
+@query(sql("O", "SELECT CASE en WHEN 'F' THEN 'train' WHEN 'O' THEN 'dev' ELSE 'test' END AS section, fr AS name, CASE WHEN domain = 'old' THEN 1.0 ELSE -1.0 END::DOUBLE AS label, count(*) AS n FROM O GROUP BY ALL"))
+def section_file(spark, sf_dir):
+    rows = tables.order_tokens(spark, sf_dir).select(F.when(F.col("en") == "F", 0).when(F.col("en") == "O", 2).otherwise(4).alias("k"), F.concat(F.when(F.col("domain") == "old", "1 | ").otherwise("-1 | "), F.col("fr")).alias("line"))
+    marks = spark.createDataFrame([(1, "DEV"), (3, "TEST")], "k int, line string")
+    found = readers.example_sections(spark, _written(spark, rows.union(marks).orderBy("k"), "examples"))
+    return found.select("section", F.col("items")[0].alias("name"), "label").groupBy("section", "name", "label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id AS line_no FROM events WHERE event_id % 5 = 3 AND event_id < 3 + 5 * 400")
+def every_fifth_line(spark, sf_dir):
+    return readers.every_nth(table(spark, sf_dir, "events").select(F.col("event_id").alias("line_no")), 3)
+
+
+@query(sql("F", f", {_BOUNDS} SELECT name || chr(9) || string_agg(CAST(boundary AS VARCHAR), chr(9) ORDER BY boundary) AS value FROM bounds GROUP BY name"))
+def bucket_file(spark, sf_dir):
+    return spark.read.text(_written(spark, writers.bucket_lines(_bounds(spark, sf_dir)), "buckets"))
+
+
+@query(sql("B", """SELECT DISTINCT src[1] || chr(9) || array_to_string(src[2:], ' ') AS value FROM B WHERE len(src) >= 1"""))
+def kwic_file(spark, sf_dir):
+    rows = tables.bitext(spark, sf_dir).filter(F.size("src") >= 1).select(F.col("src")[0].alias("word"), F.array_join(F.slice("src", 2, F.size("src")), " ").alias("after"))
+    return spark.read.text(_written(spark, writers.kwic_lines(rows), "kwic"))
+
+
+@query("SELECT event_type, date_trunc('day', ts) AS day, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM events GROUP BY ALL")
+def streamed_type_statistics(spark, sf_dir):
+    arrived, kept = scratch(spark, "events"), scratch(spark, "statistics")  # a stream of files needs a folder
+    rows = table(spark, sf_dir, "events").select("event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    rows.write.parquet(arrived)
+    events = spark.readStream.schema(rows.schema).parquet(arrived)
+    keep(type_statistics(events), kept, scratch(spark, "stream")).awaitTermination()
+    return spark.read.parquet(kept).select("event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
 # Experiments -----------------------------------------------------------------------------------------
 
 

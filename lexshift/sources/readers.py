@@ -16,13 +16,16 @@ TOKENS = "snt_id int, fr_start int, fr_end int, en_start int, en_end int, fr str
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """line_no (from 1, in each file), value, file. Numbers count the lines of a file's earlier parts first, so a
-    file may be read in parts by many tasks; nothing but one count for each part is gathered."""
-    rows = spark.read.text(path).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("_block"), "value", F.monotonically_increasing_id().alias("_at"))
-    counts = rows.groupBy("file", "_block").agg(F.count("*").alias("n"))
-    before = W.Window.partitionBy("file").orderBy("_block").rowsBetween(W.Window.unboundedPreceding, -1)
-    bases = counts.select("file", "_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    inside = F.row_number().over(W.Window.partitionBy("file", "_block").orderBy("_at"))
-    numbered = rows.withColumn("_n", inside).join(bases, ["file", "_block"])
+    file may be read in parts by many tasks; nothing but one count for each part is gathered. A folder that Spark
+    wrote is one file: its name is the folder's, its part files follow each other."""
+    name = F.input_file_name()
+    file = F.regexp_replace(name, r"/part-[0-9]+[^/]*$", "")
+    rows = spark.read.text(path).select(file.alias("file"), name.alias("_name"), F.input_file_block_start().alias("_block"), "value", F.monotonically_increasing_id().alias("_at"))
+    counts = rows.groupBy("file", "_name", "_block").agg(F.count("*").alias("n"))
+    before = W.Window.partitionBy("file").orderBy(F.length("_name"), "_name", "_block").rowsBetween(W.Window.unboundedPreceding, -1)
+    bases = counts.select("file", "_name", "_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(W.Window.partitionBy("file", "_name", "_block").orderBy("_at"))
+    numbered = rows.withColumn("_n", inside).join(bases, ["file", "_name", "_block"])
     return numbered.select((F.col("_base") + F.col("_n")).alias("line_no"), "value", "file")
 
 
@@ -159,7 +162,8 @@ def giza(spark: SparkSession, path: str) -> DataFrame:
 def page_counts(spark: SparkSession, path: str, min_count: int = 0) -> DataFrame:
     """page (the file), word, n of "n word" lines; repeated words are summed, then held against min_count."""
     p = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).select(F.input_file_name().alias("page"), F.try_element_at(p, F.lit(2)).alias("word"), F.element_at(p, 1).try_cast("long").alias("n"))
+    page = F.regexp_replace(F.input_file_name(), r"/part-[0-9]+[^/]*$", "")
+    rows = spark.read.text(path).select(page.alias("page"), F.try_element_at(p, F.lit(2)).alias("word"), F.element_at(p, 1).try_cast("long").alias("n"))
     return rows.filter("word IS NOT NULL AND n IS NOT NULL").groupBy("page", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
 
 

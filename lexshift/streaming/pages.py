@@ -32,3 +32,12 @@ def type_statistics(events: DataFrame, late: str = "1 hour", width: str = "1 day
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")
     )
+
+
+def keep(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes a stream's whole result so far to path after every batch of what has arrived."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(path)
+
+    return result.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
