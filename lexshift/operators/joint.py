@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from lexshift.functions.scalar import same_word
+from lexshift.session import ship
 
 FLOOR = 1e-9
 #: Fixed value: the price of a pair that the old table lacks.
@@ -41,42 +43,97 @@ def divergence(p: DataFrame, q: DataFrame, keys: list[str], floor: float = FLOOR
 def solve(old: np.ndarray, known: np.ndarray, rows: np.ndarray, columns: np.ndarray, rounds: int = 2000, rho: float = 4.0, close: float = 1e-9) -> np.ndarray:
     """The matrix x in [0, 1] with these margins that minimises the sum of (x - old)^2 + |x - old| over known cells and
     x^2 + 1.1 x over others: alternating directions, a closed form for each cell and one for the margins."""
-    n, m = old.shape
-    z, u = np.outer(rows, columns), np.zeros_like(old)
+    return solve_all(old[None], known[None], rows[None], columns[None], rounds, rho, close)[0]
+
+
+def solve_all(old: np.ndarray, known: np.ndarray, rows: np.ndarray, columns: np.ndarray, rounds: int = 2000, rho: float = 4.0, close: float = 1e-9) -> np.ndarray:
+    """solve for many problems of one shape, the first axis telling them apart. Each ends at its own round, as if it were alone.
+
+    Inside, problems stand on the last axis, so sums along the short ones run over many problems at a time."""
+    n, m = old.shape[1:]
+    out, at = np.empty(old.shape), np.arange(len(old))
+    old, known, rows, columns = (np.ascontiguousarray(np.moveaxis(c, 0, -1)) for c in (old, known, rows, columns))
+    z, u = rows[:, None] * columns[None], np.zeros(old.shape)
+    # a cell moves to the nearest of [up, down] from its old value; the two are the same for a cell without one
+    high, low = np.where(known, 2 * old - 1, -NEW_PRICE), np.where(known, 2 * old + 1, -NEW_PRICE)
     for _ in range(rounds):
-        v = z - u
-        up, down = (2 * old - 1 + rho * v) / (2 + rho), (2 * old + 1 + rho * v) / (2 + rho)
-        x = np.where(known, np.where(up > old, up, np.where(down < old, down, old)), (rho * v - NEW_PRICE) / (2 + rho))
-        x = np.clip(x, 0, 1)
+        v = np.subtract(z, u)
+        v *= rho
+        x, down = high + v, np.add(low, v, out=v)
+        x /= 2 + rho
+        down /= 2 + rho
+        np.minimum(np.maximum(old, x, out=x), down, out=x)
+        np.minimum(np.maximum(x, 0, out=x), 1, out=x)
         w = x + u
         a = (rows - w.sum(1)) / m
-        b = (columns - w.sum(0) - a.sum()) / n
-        last, z = z, w + a[:, None] + b[None, :]
-        u += x - z
-        if max(np.abs(x - z).max(), np.abs(z - last).max()) < close:
-            break
-    return x
-
-
-def _recovered(rows: pd.DataFrame) -> pd.DataFrame:
-    e, f = sorted(set(rows["e"])), sorted(set(rows["f"]))
-    at = rows["e"].map({w: i for i, w in enumerate(e)}), rows["f"].map({w: i for i, w in enumerate(f)})
-    old, new, known = np.zeros((len(e), len(f))), np.zeros((len(e), len(f))), np.zeros((len(e), len(f)), bool)
-    np.add.at(old, at, rows["old"].to_numpy(float))
-    np.add.at(new, at, rows["new"].to_numpy(float))
-    known[at] = True
-    old, new = old / max(old.sum(), 1), new / max(new.sum(), 1)
-    x = solve(old, known, new.sum(1), new.sum(0))
-    i, j = np.meshgrid(np.arange(len(e)), np.arange(len(f)), indexing="ij")
-    return pd.DataFrame({"grp": rows["grp"].iloc[0], "e": np.array(e)[i.ravel()], "f": np.array(f)[j.ravel()], "old": old.ravel(), "new": new.ravel(), "x": x.ravel()})
+        b = (columns - w.sum(0) - np.ascontiguousarray(a.T).sum(1)) / n
+        last, z = z, np.add(w, a[:, None], out=w)
+        z += b[None]
+        apart = np.subtract(x, z)
+        u += apart
+        going = np.abs(apart, out=apart).max((0, 1)) >= close
+        going |= np.abs(np.subtract(z, last, out=last), out=last).max((0, 1)) >= close
+        if not going.all():
+            out[at[~going]] = np.moveaxis(x[..., ~going], -1, 0)
+            if not going.any():
+                return out
+            at = at[going]
+            old, rows, columns, z, u, x, high, low = (c[..., going] for c in (old, rows, columns, z, u, x, high, low))
+    out[at] = np.moveaxis(x, -1, 0)
+    return out
+
+
+#: Groups taken up at once, and matrix cells solved at once: some arrays of as many doubles, whatever the groups' number.
+GROUPS, CELLS = 2048, 1 << 13
+
+
+def _places(group: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's place among its group's words in order; the words of all groups, where a group's begin, and their numbers."""
+    codes, names = pd.factorize(words, sort=True, use_na_sentinel=False)
+    pairs, place = np.unique(group * len(names) + codes, return_inverse=True)
+    of = pairs // len(names)
+    starts = np.searchsorted(of, np.arange(group[-1] + 1))
+    return place - starts[group], names[pairs % len(names)], starts, np.diff(np.append(starts, len(of)))
+
+
+def _recovered(batches):
+    """Rows (grp, cells) to all pairs of each group's words. Groups of one shape are solved side by side."""
+    for batch in batches:
+        for s in range(0, batch.num_rows, GROUPS):
+            some = batch.slice(s, GROUPS)
+            grp, lists = np.array(some.column("grp").to_pylist(), object), some.column("cells")
+            cells, group = lists.flatten(), np.repeat(np.arange(len(grp)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            e, e_words, e_from, n = _places(group, np.array(cells.field("e").to_pylist(), object))
+            f, f_words, f_from, m = _places(group, np.array(cells.field("f").to_pylist(), object))
+            counts = [cells.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("old", "new")]
+            shapes, shape = np.unique(np.stack([n, m], 1), axis=0, return_inverse=True)
+            for k, (rows, columns) in enumerate(shapes.tolist()):
+                alike, step = np.flatnonzero(shape.ravel() == k), max(1, CELLS // (rows * columns))
+                for c in range(0, len(alike), step):
+                    part = alike[c : c + step]
+                    spot = np.full(len(grp), -1)
+                    spot[part] = np.arange(len(part))
+                    here = spot[group] >= 0
+                    to = spot[group[here]], e[here], f[here]
+                    old, new, known = (np.zeros((len(part), rows, columns), t) for t in (float, float, bool))
+                    np.add.at(old, to, counts[0][here])
+                    np.add.at(new, to, counts[1][here])
+                    known[to] = True
+                    old, new = (v / np.maximum(v.sum((1, 2), keepdims=True), 1) for v in (old, new))
+                    x = solve_all(old, known, new.sum(2), new.sum(1))
+                    i, j = np.divmod(np.arange(rows * columns), columns)
+                    names = [np.repeat(grp[part], rows * columns), e_words[(e_from[part][:, None] + i).ravel()], f_words[(f_from[part][:, None] + j).ravel()]]
+                    yield pa.RecordBatch.from_arrays([*[pa.array(v, pa.string(), from_pandas=True) for v in names], *[pa.array(v.ravel()) for v in (old, new, x)]], names=["grp", "e", "f", "old", "new", "x"])
 
 
 def recover(pairs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(grp, line_no, e, f, old, new counts) to grp, e, f, old, new, x for all pairs of a group's words. A group is its first
     `limit` lines, as the task is defined, so a group's matrix is bounded."""
+    ship(pairs.sparkSession)
     first = F.row_number().over(W.Window.partitionBy("grp").orderBy("line_no"))
-    rows = pairs.withColumn("_r", first).filter(F.col("_r") <= limit).select("grp", "e", "f", "old", "new")
-    return rows.groupBy("grp").applyInPandas(_recovered, "grp string, e string, f string, old double, new double, x double")
+    rows = pairs.withColumn("_r", first).filter(F.col("_r") <= limit)
+    lists = rows.groupBy("grp").agg(F.collect_list(F.struct("e", "f", "old", "new")).alias("cells"))
+    return lists.mapInArrow(_recovered, "grp string, e string, f string, old double, new double, x double")
 
 
 def top_words(joint: DataFrame, k: int) -> DataFrame:

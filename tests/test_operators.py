@@ -111,6 +111,25 @@ def test_joint_qp_solves_every_pair(spark):
     assert all(0 <= r["x"] <= 1 for r in got)
 
 
+def test_joint_problems_side_by_side(spark):
+    rng = np.random.default_rng(2)
+    old, new = rng.random((6, 4, 3)), rng.random((6, 4, 3))
+    old, new = old / old.sum((1, 2), keepdims=True), new / new.sum((1, 2), keepdims=True)
+    known = old > 0.05
+    x = joint.solve_all(old, known, new.sum(2), new.sum(1))
+    assert all(np.array_equal(x[i], joint.solve(old[i], known[i], new[i].sum(1), new[i].sum(0))) for i in range(6))
+    cells = [(g, i * 9 + j, f"e{i}", f"f{j}", i + j, i * j + 1) for g, n in (("a", 2), ("b", 3), ("c", 2)) for i in range(n) for j in range(2) if (i, j) != (1, 1)]
+    got = joint.recover(spark.createDataFrame(cells, "grp string, line_no long, e string, f string, old long, new long")).toPandas()
+    for grp, n in (("a", 2), ("b", 3), ("c", 2)):
+        matrix = got[got["grp"] == grp].pivot(index="e", columns="f", values="x").to_numpy()
+        a, b = np.zeros((n, 2)), np.zeros((n, 2))
+        for g, _, e, f, o, c in cells:
+            if g == grp:
+                a[int(e[1:]), int(f[1:])], b[int(e[1:]), int(f[1:])] = o, c
+        here = b > 0
+        assert np.allclose(matrix, joint.solve(a / a.sum(), here, b.sum(1) / b.sum(), b.sum(0) / b.sum()), atol=1e-12)
+
+
 def test_phrase_decoding(spark):
     table = spark.createDataFrame([("a b", "x y", [0.5, 1.0, 0.5, 1.0], [4.0, 4.0]), ("a", "x", [0.5, 1.0, 0.5, 1.0], [2.0, 2.0]), ("b", "y", [0.25, 1.0, 0.25, 1.0], [4.0, 4.0])], "fr string, en string, scores array<double>, counts array<double>")
     got = {r["fr"]: r for r in phrases.relative_entropy(table).collect()}
