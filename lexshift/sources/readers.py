@@ -14,19 +14,19 @@ from lexshift.operators.labels import last_wins
 TOKENS = "snt_id int, fr_start int, fr_end int, en_start int, en_end int, fr string, en string"
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
+def lines(spark: SparkSession, path: str, **of_file: Column) -> DataFrame:
     """line_no (from 1, in each file), value, file. Numbers count the lines of a file's earlier parts first, so a
-    file may be read in parts by many tasks; nothing but one count for each part is gathered. A folder that Spark
-    wrote is one file: its name is the folder's, its part files follow each other."""
-    name = F.input_file_name()
-    file = F.regexp_replace(name, r"/part-[0-9]+[^/]*$", "")
-    rows = spark.read.text(path).select(file.alias("file"), name.alias("_name"), F.input_file_block_start().alias("_block"), "value", F.monotonically_increasing_id().alias("_at"))
-    counts = rows.groupBy("file", "_name", "_block").agg(F.count("*").alias("n"))
+    file may be read in parts by many tasks; a count and the first id of each part are gathered, and no line is
+    moved. A folder that Spark wrote is one file: its name is the folder's, its part files follow each other.
+    of_file: more columns of the file's name, found once for each part."""
+    # ids rise by one from line to line of a task, so a line's place in its part is told by the part's first id
+    rows = spark.read.text(path).select(F.input_file_name().alias("_name"), F.input_file_block_start().alias("_block"), "value", F.monotonically_increasing_id().alias("_at"))
+    counts = rows.groupBy("_name", "_block").agg(F.count("*").alias("n"), F.min("_at").alias("_first")).withColumn("file", F.regexp_replace("_name", r"/part-[0-9]+[^/]*$", ""))
     before = W.Window.partitionBy("file").orderBy(F.length("_name"), "_name", "_block").rowsBetween(W.Window.unboundedPreceding, -1)
-    bases = counts.select("file", "_name", "_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    inside = F.row_number().over(W.Window.partitionBy("file", "_name", "_block").orderBy("_at"))
-    numbered = rows.withColumn("_n", inside).join(bases, ["file", "_name", "_block"])
-    return numbered.select((F.col("_base") + F.col("_n")).alias("line_no"), "value", "file")
+    bases = counts.select("_name", "_block", "file", (F.coalesce(F.sum("n").over(before), F.lit(0)) + 1 - F.col("_first")).alias("_base"))
+    bases = bases.select("*", *[c.alias(n) for n, c in of_file.items()])
+    numbered = rows.join(F.broadcast(bases), ["_name", "_block"])  # one row for each part
+    return numbered.select((F.col("_base") + F.col("_at")).alias("line_no"), "value", "file", *of_file)
 
 
 def source_name(file: Column) -> Column:
@@ -110,15 +110,26 @@ def sentence_scores(spark: SparkSession, sentences: str, gb: str, gs: str, db: s
     return out.select("line_no", "gb", "gs", "db", "ds", F.posexplode("tokens").alias("i", "fr")).select("line_no", "i", "fr", *map(at, ("gb", "gs", "db", "ds"))).filter("gb IS NOT NULL")
 
 
-def debug_scores(spark: SparkSession, path: str) -> DataFrame:
+#: Lines of a file that stand in one window.
+CHUNK = 50_000
+
+
+def debug_scores(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
     """snt_id (from 1), sentence, probs (floored base-10 logs) of a language model's per-word debug output.
 
     A block is a sentence line, lines with "p( ... ) ... [ logprob ]", and trailer lines; a sentence line is one
-    after a blank line."""
-    rows = lines(spark, path).withColumn("blank", F.trim("value") == "")
-    order = W.Window.partitionBy("file").orderBy("line_no")
-    first = (F.lag("blank", 1, True).over(order) & ~F.col("blank")).cast("int")
-    rows = rows.withColumn("block", F.sum(first).over(order)).filter(~F.col("blank"))
+    after a blank line. Blocks are counted in chunks of lines: a chunk begins with the count and the last line of
+    those before it, of which there is one row each."""
+    rows = lines(spark, path).withColumn("blank", F.trim("value") == "").withColumn("chunk", F.floor((F.col("line_no") - 1) / chunk))
+    ends = rows.groupBy("file", "chunk").agg(F.max_by("blank", "line_no").alias("end"))
+    chunks = W.Window.partitionBy("file").orderBy("chunk")
+    heads = ends.select("file", "chunk", F.lag("end", 1, True).over(chunks).alias("head"))
+    order = W.Window.partitionBy("file", "chunk").orderBy("line_no")
+    first = (F.coalesce(F.lag("blank").over(order), "head") & ~F.col("blank")).cast("int")
+    rows = rows.join(F.broadcast(heads), ["file", "chunk"]).withColumn("first", first)
+    sums = rows.groupBy("file", "chunk").agg(F.sum("first").alias("n"))
+    bases = sums.select("file", "chunk", F.coalesce(F.sum("n").over(chunks.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    rows = rows.join(F.broadcast(bases), ["file", "chunk"]).withColumn("block", F.col("base") + F.sum("first").over(order)).filter(~F.col("blank"))
     number = F.regexp_extract("value", r"^\s*p\(.*\[ *(\S+) *\]\s*$", 1)
     value = F.greatest(F.coalesce(number.try_cast("double"), F.lit(LOG10_FLOOR)), F.lit(LOG10_FLOOR))
     return rows.groupBy("file", "block").agg(

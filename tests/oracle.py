@@ -33,6 +33,20 @@ def compare(spark, c, sf_dir: str, query, oracle: str) -> tuple[str, int]:
     return f"{len(a)} and {len(b)} rows; {sum(x != y for x, y in zip(a, b))} differ, first {first}", len(a)
 
 
+def shuffled_rows(frame) -> int:
+    """Rows that the plan's exchanges write while frame is run."""
+    store = frame.sparkSession.sparkContext._jsc.sc().statusStore()
+    none, sizes = frame.sparkSession._jvm.java.util.ArrayList(), frame.sparkSession.sparkContext._gateway.new_array(frame.sparkSession._jvm.double, 0)
+
+    def written():
+        stages = store.stageList(none, False, False, sizes, none)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    frame.write.mode("overwrite").format("noop").save()
+    return written() - before
+
+
 if __name__ == "__main__":
     from __spark_entry__ import oracle_sql, queries
     from lexshift.session import local_session

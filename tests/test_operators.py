@@ -171,6 +171,34 @@ def test_readers(spark, tmp_path):
     assert readers.seen(spark, str(tmp_path / "p")).count() == 0
 
 
+def test_lines_are_numbered_where_they_lie(spark, tmp_path):
+    """Files of many parts and splits: the same numbers as one reader gives, without a window over a file's lines."""
+    from tests.oracle import shuffled_rows
+
+    texts = {"a": [f"a{i}" + "x" * (i % 7) for i in range(500)], "b": [f"b{i}" for i in range(40)]}
+    for name, text in texts.items():
+        (tmp_path / name).write_text("\n".join(text) + "\n")
+    spark.createDataFrame([(i, f"c{i}") for i in range(90)], "k int, line string").repartitionByRange(5, "k").sortWithinPartitions("k").select("line").write.text(str(tmp_path / "c"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        for name, text in {**texts, "c": [f"c{i}" for i in range(90)]}.items():
+            got = readers.lines(spark, str(tmp_path / name))
+            assert [r["value"] for r in got.orderBy("line_no").collect()] == text and got.agg(F.max("line_no")).first()[0] == len(text)
+        assert shuffled_rows(readers.lines(spark, str(tmp_path / "a"))) < 100
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_debug_blocks_across_chunks(spark, tmp_path):
+    """Blocks are the same wherever chunks of lines end."""
+    blocks = [[f"s{i}", *[f"\tp( w | v ) = [1gram] 0.1 [ -{j + 1} ]" for j in range(i % 4)], "1 sentences", *[""] * (1 + i % 3)] for i in range(60)]
+    (tmp_path / "d").write_text("\n".join(x for b in blocks for x in b) + "\n")
+    for chunk in (1, 2, 7, 10_000):
+        got = [tuple(r) for r in readers.debug_scores(spark, str(tmp_path / "d"), chunk).orderBy("snt_id").collect()]
+        assert got == [(i + 1, f"s{i}", [float(-min(j + 1, 6)) for j in range(i % 4)]) for i in range(60) if i % 4]
+
+
 def test_writers(spark, tmp_path):
     rows = spark.createDataFrame([(1, ["a"], ["x", "y"], [(0, 1)])], "sent long, src array<string>, tgt array<string>, align array<struct<s:int,t:int>>")
     writers.write_lines(writers.bitext_lines(rows)[2], str(tmp_path / "o"), gzip=True)
