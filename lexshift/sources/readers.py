@@ -62,14 +62,14 @@ def type_features(spark: SparkSession, path: str) -> DataFrame:
     """domain, source, fr, name, text, value of type feature files; lines without features are passed over. Of lines of
     one phrase and of repeated names the last counts."""
     m = lambda i: F.regexp_extract("value", r"^([^\t]+)\t(.+)$", i)
-    rows = lines(spark, path).select("line_no", source_name(F.col("file")).alias("s"), m(1).alias("fr"), F.split(m(2), r"\s+").alias("items")).filter("fr <> ''")
+    rows = lines(spark, path, s=source_name(F.col("file"))).select("line_no", "s", m(1).alias("fr"), F.split(m(2), r"\s+").alias("items")).filter("fr <> ''")
     out = parsed(rows.select("line_no", "s.domain", "s.source", "fr", "items"), "items", ["domain", "source", "fr", "line_no"])
     return last_wins(out, ["domain", "source", "fr", "name"])
 
 
 def token_features(spark: SparkSession, path: str) -> DataFrame:
     """domain, source, line_no, name, text, value of token feature files, one line for each token."""
-    rows = lines(spark, path).select("line_no", source_name(F.col("file")).alias("s"), F.split("value", r"\s+").alias("items"))
+    rows = lines(spark, path, s=source_name(F.col("file"))).select("line_no", "s", F.split("value", r"\s+").alias("items"))
     return parsed(rows.select("line_no", "s.domain", "s.source", "items"), "items", ["domain", "source", "line_no"])
 
 

@@ -199,6 +199,15 @@ def test_debug_blocks_across_chunks(spark, tmp_path):
         assert got == [(i + 1, f"s{i}", [float(-min(j + 1, 6)) for j in range(i % 4)]) for i in range(60) if i % 4]
 
 
+def test_file_names_are_taken_apart_once_for_each_part(spark, tmp_path):
+    """Not once for each line: the regular expressions stand above the parts' aggregate, none above the lines."""
+    (tmp_path / "new-old.token.x").write_text("a b:2\n\nc\n")
+    got = readers.token_features(spark, str(tmp_path / "new-old.token.x"))
+    assert [tuple(r) for r in got.orderBy("line_no", "name").collect()] == [("new", "x", 1, "a", "1", 1.0), ("new", "x", 1, "b", "2", 2.0), ("new", "x", 3, "c", "1", 1.0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "token)" not in plan[: plan.index("Join")] and "token)" in plan
+
+
 def test_writers(spark, tmp_path):
     rows = spark.createDataFrame([(1, ["a"], ["x", "y"], [(0, 1)])], "sent long, src array<string>, tgt array<string>, align array<struct<s:int,t:int>>")
     writers.write_lines(writers.bitext_lines(rows)[2], str(tmp_path / "o"), gzip=True)
