@@ -25,6 +25,9 @@ def seen_from_phrases(phrases: DataFrame, types: DataFrame) -> DataFrame:
 def last_wins(rows: DataFrame, keys: list[str], line: str = "line_no") -> DataFrame:
     """Of rows with equal keys the last line."""
     rest = [c for c in rows.columns if c not in keys]
+    others = [c for c, t in rows.dtypes if c not in (*keys, line) and t in ("int", "bigint", "double")]
+    if len(others) == 1 and set(rest) == {others[0], line}:  # hashed, where a struct would be sorted by its key
+        return rows.groupBy(*keys).agg(F.max(line).alias(line), F.max_by(others[0], line).alias(others[0])).select(*keys, *rest)
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), line).alias("_row")).select(*keys, *[f"_row.{c}" for c in rest])
 
 

@@ -208,6 +208,13 @@ def test_file_names_are_taken_apart_once_for_each_part(spark, tmp_path):
     assert "token)" not in plan[: plan.index("Join")] and "token)" in plan
 
 
+def test_last_numbers_are_hashed(spark):
+    rows = spark.createDataFrame([("a", "x", 1, 0.5), ("a", "x", 3, 0.25), ("a", "x", 2, 0.75), ("b", "x", 1, None)], "f string, e string, line_no long, p double")
+    got = labels.last_wins(rows, ["f", "e"])
+    assert sorted(map(tuple, got.collect())) == [("a", "x", 3, 0.25), ("b", "x", 1, None)]
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_writers(spark, tmp_path):
     rows = spark.createDataFrame([(1, ["a"], ["x", "y"], [(0, 1)])], "sent long, src array<string>, tgt array<string>, align array<struct<s:int,t:int>>")
     writers.write_lines(writers.bitext_lines(rows)[2], str(tmp_path / "o"), gzip=True)
