@@ -215,6 +215,15 @@ def test_last_numbers_are_hashed(spark):
     assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pair_counts_move_no_line(spark, tmp_path):
+    from tests.oracle import shuffled_rows
+
+    (tmp_path / "p").write_text("".join(f"f{i}__e {i} {i + 1}\n" for i in range(2000)))
+    got = readers.pair_counts(spark, str(tmp_path / "p"))
+    assert shuffled_rows(got) < 50
+    assert sorted(map(tuple, got.collect())) == [(i + 1, f"f{i}", "e", i, i + 1) for i in range(300)]
+
+
 def test_writers(spark, tmp_path):
     rows = spark.createDataFrame([(1, ["a"], ["x", "y"], [(0, 1)])], "sent long, src array<string>, tgt array<string>, align array<struct<s:int,t:int>>")
     writers.write_lines(writers.bitext_lines(rows)[2], str(tmp_path / "o"), gzip=True)
