@@ -224,6 +224,18 @@ def test_pair_counts_move_no_line(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == [(i + 1, f"f{i}", "e", i, i + 1) for i in range(300)]
 
 
+def test_terms_are_moved_once_for_weights(spark):
+    """A document that comes in two rows is one document; cells are dealt out by term once and nothing else is as large."""
+    from lexshift.operators import retrieval
+    from tests.oracle import shuffled_rows
+
+    docs = spark.createDataFrame([(d % 40, [f"w{(d * 7 + i) % 900}" for i in range(300)] + ["twice"] * 2) for d in range(41)], "doc long, tokens array<string>")
+    cells = retrieval.term_counts(docs)
+    assert cells.filter("doc = 0 AND term = 'twice'").first()["n"] == 4
+    assert shuffled_rows(cells) == 41
+    assert shuffled_rows(retrieval.weigh_bm25(cells)) < 1.5 * cells.count()
+
+
 def test_writers(spark, tmp_path):
     rows = spark.createDataFrame([(1, ["a"], ["x", "y"], [(0, 1)])], "sent long, src array<string>, tgt array<string>, align array<struct<s:int,t:int>>")
     writers.write_lines(writers.bitext_lines(rows)[2], str(tmp_path / "o"), gzip=True)
