@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,6 +237,21 @@ def test_terms_are_moved_once_for_weights(spark):
     assert shuffled_rows(retrieval.weigh_bm25(cells)) < 1.5 * cells.count()
 
 
+def test_generators_of_many_seeds(monkeypatch):
+    """Draws are those of default_rng, also where a generator's memory can't be set; no generator is built for each seed."""
+    from lexshift.functions import draws
+
+    seeds = np.concatenate([[0, 1, 2**32 - 1, 2**32, 2**63 - 1], np.random.default_rng(4).integers(0, 2**63 - 1, 300)])
+    n, p = np.array([0.01, 3.01, 100.01, 1.0]), [0.1, 0.2, 0.3, 0.4]
+    expected = [(g.multinomial(100, p).tolist(), g.standard_gamma(n).tolist()) for g in map(np.random.default_rng, seeds.tolist())]
+    for words in (draws._words, lambda bits: None):
+        monkeypatch.setattr(draws, "_words", words)
+        assert [(g.multinomial(100, p).tolist(), g.standard_gamma(n).tolist()) for g in draws.generators(seeds)] == expected
+    monkeypatch.setattr(np.random, "default_rng", None)
+    counts = pa.RecordBatch.from_pydict({"f": ["a"] * 3, "n_0": [1, 2, 3], "n_1": [0, 0, 5], "seed": [-1, 5, 2**62]})
+    assert next(iter(topics._gammas(2)([counts]))).num_rows == 3
+
+
 def test_writers(spark, tmp_path):
     rows = spark.createDataFrame([(1, ["a"], ["x", "y"], [(0, 1)])], "sent long, src array<string>, tgt array<string>, align array<struct<s:int,t:int>>")
     writers.write_lines(writers.bitext_lines(rows)[2], str(tmp_path / "o"), gzip=True)
