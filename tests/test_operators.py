@@ -77,6 +77,32 @@ def test_even_split(spark):
     assert all(r["testfold"] == (r["devfold"] + 1) % 4 for r in dealt.collect())
 
 
+def test_even_split_by_plain_rules(spark):
+    """The folds of the rules as they are stated, with numpy and lists, also where types tie, lack a label or are few."""
+
+    def quality(left, right, n):
+        shares = [s / s.sum() if s.sum() else s * 0.0 for s in (left, right)]
+        middle = sum(shares) / 2
+        return -10 * sum(sum(x * math.log(x / m) for x, m in zip(s, middle) if x > 0) for s in shares) / 2 - abs(left.sum() - right.sum()) / n / 10000
+
+    def split(rows, levels):
+        if levels == 0 or len(rows) < 2:
+            return [rows] + [[]] * ((1 << levels) - 1)
+        sides, sums = ([], []), [np.zeros(2), np.zeros(2)]
+        for r in rows:
+            scores = [quality(sums[0] + sizes[r] * (s == 0), sums[1] + sizes[r] * (s == 1), len(sizes)) for s in (0, 1)]
+            side = 0 if not sides[0] or scores[0] >= scores[1] else 1
+            sides[side].append(r)
+            sums[side] = sums[side] + sizes[r]
+        return [x for s in sides for x in split(s, levels - 1)]
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 5, 700):
+        sizes = rng.integers(0, 9, (n, 2)).astype(float)
+        assert folds.dealt(sizes, 3).tolist() == [f for r in range(n) for f, rows in enumerate(split(list(range(n)), 3)) if r in rows]
+    assert folds.even(spark.createDataFrame([], "fr string, label int"), 4).count() == 0
+
+
 def test_bitext(spark):
     rows = spark.createDataFrame([(1, ["a", "b"], ["x", "y"], "0-0"), (2, ["a"], ["x"], "bad")], "sent long, src array<string>, tgt array<string>, t string").withColumn("align", bitext.parse_align(F.col("t")))
     assert {(r["f"], r["e"]) for r in bitext.word_pairs(rows.filter("sent = 1"), []).collect()} == {("a", "x"), ("b", "NULL"), ("NULL", "y")}
