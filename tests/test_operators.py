@@ -103,6 +103,25 @@ def test_even_split_by_plain_rules(spark):
     assert folds.even(spark.createDataFrame([], "fr string, label int"), 4).count() == 0
 
 
+def test_vectors_without_a_row_for_each_indicator(spark):
+    """The vectors are those of the indicators; a key's values are moved, not its indicators."""
+    from tests.oracle import shuffled_rows
+
+    rng = np.random.default_rng(6)
+    values = [(k, f"x{i}", float(v)) for k in range(80) for i, v in enumerate(rng.integers(-3, 40, 3)) if rng.random() < 0.8] + [(3, "unknown", 1.0), (5, "x9", float("nan")), (6, "x9", 2.0)]
+    sparse = spark.createDataFrame(values, "key long, name string, value double").withColumn("text", F.lit(""))
+    rows = spark.createDataFrame([(k, "f", k % 3 - 1, ("train", "dev", "test")[k % 3]) for k in range(90)], "key long, fr string, label int, part string")
+    bounds = buckets.boundaries(sparse.filter("name <> 'unknown'"), 90)
+    marks = buckets.indicators(sparse, bounds, ["key"])
+    space, plain = learn.Space.reached(sparse, bounds), learn.Space.of(marks)
+    assert space.names == plain.names and len(space.names) > 20
+    expected = {r["key"]: r["vector"] for r in plain.vectors(rows.join(features.as_maps(marks, ["key"]), "key", "left")).collect()}
+    sets = learn.marked_sets(rows, sparse, bounds, space)
+    assert {r["key"]: r["vector"] for s in sets.values() for r in s.collect()} == expected and len(expected) == 90
+    assert {p: s.count() for p, s in sets.items()} == {"train": 30, "dev": 30, "test": 30}
+    assert shuffled_rows(features.as_maps(sparse, ["key"])) < marks.count() / 4
+
+
 def test_bitext(spark):
     rows = spark.createDataFrame([(1, ["a", "b"], ["x", "y"], "0-0"), (2, ["a"], ["x"], "bad")], "sent long, src array<string>, tgt array<string>, t string").withColumn("align", bitext.parse_align(F.col("t")))
     assert {(r["f"], r["e"]) for r in bitext.word_pairs(rows.filter("sent = 1"), []).collect()} == {("a", "x"), ("b", "NULL"), ("NULL", "y")}
