@@ -122,6 +122,21 @@ def test_vectors_without_a_row_for_each_indicator(spark):
     assert shuffled_rows(features.as_maps(sparse, ["key"])) < marks.count() / 4
 
 
+def test_boosting_rounds_are_fitted_once(spark, monkeypatch):
+    """Cut after some rounds, a boosted model is the one fitted for that many; every configuration has its own loss."""
+    rng = np.random.default_rng(7)
+    rows = spark.createDataFrame([(k, "f", int(rng.random() < 0.2 + 0.15 * (k % 5)) * 2 - 1, {"x": float(k % 5), "y": float(k % 7)}) for k in range(300)], "key long, fr string, label int, features map<string,double>")
+    v = learn.Space(["x", "y"]).vectors(rows).cache()
+    raw = lambda m: [r[0] for r in learn.scored(m, v).orderBy("key").select("score").collect()]
+    most = learn.trees({"depth": 2, "boost": 4}).fit(v)
+    single = {n: learn.trees({"depth": 2, "boost": n}).fit(v) for n in (1, 2)}
+    assert all(raw(learn.first_rounds(most, n)) == raw(m) for n, m in single.items())
+    plain = {n: 1 - metrics.auroc(learn.scored(m, v).select("score", "label")).first()["auroc"] for n, m in {**single, 4: most}.items()}
+    made = []
+    best = learn.search(v, v, [{"depth": 2, "boost": n} for n in (1, 2, 4)], lambda c: made.append(c) or learn.trees(c))
+    assert made == [{"depth": 2, "boost": 4}] and best.loss == min(plain.values()) == plain[best.config["boost"]]
+
+
 def test_bitext(spark):
     rows = spark.createDataFrame([(1, ["a", "b"], ["x", "y"], "0-0"), (2, ["a"], ["x"], "bad")], "sent long, src array<string>, tgt array<string>, t string").withColumn("align", bitext.parse_align(F.col("t")))
     assert {(r["f"], r["e"]) for r in bitext.word_pairs(rows.filter("sent = 1"), []).collect()} == {("a", "x"), ("b", "NULL"), ("NULL", "y")}
