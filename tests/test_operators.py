@@ -137,6 +137,47 @@ def test_boosting_rounds_are_fitted_once(spark, monkeypatch):
     assert made == [{"depth": 2, "boost": 4}] and best.loss == min(plain.values()) == plain[best.config["boost"]]
 
 
+def test_flow_of_blocks_is_maximal(spark):
+    """Against plain augmenting paths, whatever the blocks; pages without the other side or without links stay whole."""
+    rng = np.random.default_rng(8)
+
+    def most(supply, demand, capacity):
+        left = {("s", f): v for f, v in supply.items()} | {(e, "t"): v for e, v in demand.items()} | dict(capacity)
+        total = 0.0
+        while True:
+            came, queue = {"s": None}, ["s"]
+            for at in queue:
+                for (a, b), v in left.items():
+                    if a == at and b not in came and v > 1e-12:
+                        came[b] = a
+                        queue.append(b)
+            if "t" not in came:
+                return total
+            path, at = [], "t"
+            while came[at] is not None:
+                path.append((came[at], at))
+                at = came[at]
+            much = min(left[x] for x in path)
+            for a, b in path:
+                left[a, b] -= much
+                left[b, a] = left.get((b, a), 0.0) + much
+            total += much
+
+    counts = {s: [(p, f"{s}{w}", int(rng.integers(1, 9))) for p in range(12) if (s, p) != ("e", 11) for w in rng.choice(9, 6, False)] for s in "fe"}
+    scores = [(f"f{i}", f"e{j}", int(rng.integers(1, 20))) for i in range(8) for j in range(9) if rng.random() < 0.5]
+    f, e = (spark.createDataFrame(counts[s], "page long, word string, n long") for s in "fe")
+    links = spark.createDataFrame(scores, "f string, e string, score long")
+    share = lambda rows, k: {r[:2]: r[2] / sum(x[2] for x in rows if x[k] == r[k]) for r in rows}
+    pf, pe, cap = share(counts["f"], 0), share(counts["e"], 0), share(scores, 0)
+    for words in (1, 40, 10_000):
+        got = flow.residuals(f, e, links, block_words=words).collect()
+        assert {(r["page"], r["word"]) for r in got} == set(pf) and len(got) == len(pf)
+        for page in range(12):
+            supply, demand = ({w: v for (p, w), v in x.items() if p == page} for x in (pf, pe))
+            mass = 1 + sum(r["diff"] for r in got if r["page"] == page)
+            assert mass == pytest.approx(most(supply, demand, {k: v for k, v in cap.items() if k[0] in supply and k[1] in demand}), abs=1e-9)
+
+
 def test_bitext(spark):
     rows = spark.createDataFrame([(1, ["a", "b"], ["x", "y"], "0-0"), (2, ["a"], ["x"], "bad")], "sent long, src array<string>, tgt array<string>, t string").withColumn("align", bitext.parse_align(F.col("t")))
     assert {(r["f"], r["e"]) for r in bitext.word_pairs(rows.filter("sent = 1"), []).collect()} == {("a", "x"), ("b", "NULL"), ("NULL", "y")}
