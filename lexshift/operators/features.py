@@ -32,8 +32,9 @@ def rendered(features: DataFrame, keys: list[str], order: str = "name") -> DataF
 
 
 def type_features(tokens: DataFrame, features: DataFrame, keys: list[str]) -> DataFrame:
-    """features(fr, source, name, value) joined to tokens by phrase: keys, name with its prefix, value."""
-    return tokens.select(*keys, "fr").join(features, "fr").select(*keys, F.concat(F.col("source"), F.lit("___type_"), F.col("name")).alias("name"), "text", "value")
+    """features(fr, source, name, value) joined to tokens by phrase: keys, name with its prefix, value. Features grow with
+    the phrases, so they are never sent to every task, however small their compressed files make them look."""
+    return tokens.select(*keys, "fr").join(features.hint("merge"), "fr").select(*keys, F.concat(F.col("source"), F.lit("___type_"), F.col("name")).alias("name"), "text", "value")
 
 
 def token_features(tokens: DataFrame, features: DataFrame, keys: list[str], line: str = "line_no") -> DataFrame:

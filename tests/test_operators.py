@@ -178,6 +178,18 @@ def test_flow_of_blocks_is_maximal(spark):
             assert mass == pytest.approx(most(supply, demand, {k: v for k, v in cap.items() if k[0] in supply and k[1] in demand}), abs=1e-9)
 
 
+def test_type_features_are_not_broadcast(spark):
+    from lexshift.plans import catalog
+
+    tokens = spark.createDataFrame([("a", "old"), ("a", "old"), ("b", "new"), ("c", "new")], "fr string, domain string")
+    rows = spark.createDataFrame([("a", "s", "x", "1", 2.0), ("b", "s", "x", "1", 3.0)], "fr string, source string, name string, text string, value double")
+    got = features.type_features(tokens, rows, ["domain"])
+    assert sorted((r["domain"], r["name"], r["value"]) for r in got.collect()) == [("new", "s___type_x", 3.0), ("old", "s___type_x", 2.0), ("old", "s___type_x", 2.0)]
+    frame = catalog.QUERIES["type_feature_join"](spark, "/root/testdata/sf0.001")
+    for plan in (got._jdf.queryExecution().executedPlan().toString(), frame._jdf.queryExecution().executedPlan().toString()):
+        assert "SortMergeJoin [fr" in plan and "BroadcastHashJoin [fr" not in plan
+
+
 def test_bitext(spark):
     rows = spark.createDataFrame([(1, ["a", "b"], ["x", "y"], "0-0"), (2, ["a"], ["x"], "bad")], "sent long, src array<string>, tgt array<string>, t string").withColumn("align", bitext.parse_align(F.col("t")))
     assert {(r["f"], r["e"]) for r in bitext.word_pairs(rows.filter("sent = 1"), []).collect()} == {("a", "x"), ("b", "NULL"), ("NULL", "y")}
