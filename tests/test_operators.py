@@ -190,6 +190,16 @@ def test_type_features_are_not_broadcast(spark):
         assert "SortMergeJoin [fr" in plan and "BroadcastHashJoin [fr" not in plan
 
 
+def test_norms_do_not_count_words_again(spark):
+    """The weights and their norms read the written counts: documents are not dealt out again."""
+    from lexshift.operators import retrieval
+
+    docs = spark.createDataFrame([(d, ["a", "a", "b", f"w{d}"]) for d in range(6)], "doc long, tokens array<string>")
+    rows = retrieval.normalized(retrieval.weigh_bm25(retrieval.term_counts(docs)))
+    assert "Generate" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(round(r["s"], 9) for r in rows.groupBy("term").agg(F.sum(F.col("weight") ** 2).alias("s")).collect()) == [1.0] * 8
+
+
 def test_bitext(spark):
     rows = spark.createDataFrame([(1, ["a", "b"], ["x", "y"], "0-0"), (2, ["a"], ["x"], "bad")], "sent long, src array<string>, tgt array<string>, t string").withColumn("align", bitext.parse_align(F.col("t")))
     assert {(r["f"], r["e"]) for r in bitext.word_pairs(rows.filter("sent = 1"), []).collect()} == {("a", "x"), ("b", "NULL"), ("NULL", "y")}
